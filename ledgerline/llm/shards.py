@@ -5,7 +5,8 @@ their text.  Group sizes are summed in ``2**cell_bits`` cells of the hash
 range, the atoms of the partition: a group never spans two cells, and the
 number of cells doesn't grow with the data, so their sums fit the driver.  The
 smallest capacity for which a greedy sweep needs at most ``shards`` shards is
-found by binary search; the sweep at that capacity gives the cuts.  With far
+found by binary search; within that capacity each cut then takes an even share
+of what is left, so the last shard isn't the only one to run short.  With far
 more cells than groups (small data) each atom is one group; with more groups
 than cells the largest shard exceeds the unrestricted optimum by at most one
 cell, a share of about 2**-cell_bits of the total unless one group is larger.
@@ -54,7 +55,26 @@ def minimax(sums: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, feasible(sums, low, shards)
+    return low, even_ends(sums, low, shards)
+
+
+def even_ends(sums: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Shard ends within ``capacity``, each cut as near to an even share of what is left as the rest allows."""
+    reach = np.concatenate([[0], np.cumsum(sums)])
+    at, ends = 0, []
+    for left in range(shards, 0, -1):
+        if at == len(sums):
+            break
+        furthest = int(np.searchsorted(reach, reach[at] + capacity, "right")) - 1
+        share = reach[at] + (reach[-1] - reach[at]) / left
+        near = int(np.searchsorted(reach, share))
+        near -= near > at + 1 and share - reach[near - 1] < reach[min(near, len(sums))] - share
+        end = min(max(near, at + 1), furthest)
+        if left == 1 or feasible(sums[end:], capacity, left - 1) is None:
+            end = furthest
+        ends.append(end)
+        at = end
+    return ends
 
 
 def cell_of(text: Column, cell_bits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, shards
+from . import langid, packing, secrets, shards
 from .tables import load
 
 
@@ -14,6 +14,24 @@ def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def tokenizer_file() -> str:
+    """The vocabulary file that packing counts tokens by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: pattern counts and digest, and all spans."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs, drop_text=True).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near-equal bytes; equal texts stay together."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +49,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
 }

@@ -96,21 +96,30 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         low = high
 
 
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte (starts, ends) of the maximal runs of ``inside`` that don't cross a row's edge."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = at[1:-1][(at[1:-1] < len(inside)) & (at[1:-1] > 0)]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte position, 0 to len(data)."""
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
 class Words:
     """Words of a chunk: hash, byte start and end of each, and where each row's words begin."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, mask: np.ndarray = WORD, lut: np.ndarray = LOWER):
         n = len(data)
-        inside = mask[data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        edges = at[1:-1][at[1:-1] < n]
-        first[edges] = inside[edges]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        ends = edges[edges > 0] - 1
-        last[ends] = inside[ends]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.start, self.end = runs(mask[data], at)
         up, down = _powers(n)
         sums = np.zeros(n + 1, U)
         np.cumsum((lut[data].astype(U) + U(1)) * up[:n], out=sums[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, secrets, shards
+from . import langid, neardup, packing, secrets, shards
 from .tables import load
 
 
@@ -26,6 +26,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document: five-word shingles, similarity 0.8 or more."""
+    found = neardup.classes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: pattern counts and digest, and all spans."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,

@@ -17,6 +17,7 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
+_POWERS_OF_STEP = np.multiply.accumulate(np.full(64, _BASE))
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -139,7 +140,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     position = np.arange(len(h)) - at[row]
     left = at[row + 1] - np.arange(len(h))
     for j in range(k):
-        step = mix(h + U(j + 1) * _BASE)
+        step = mix(h + _POWERS_OF_STEP[j])
         shifted = np.zeros(len(h), U)
         shifted[: len(h) - j] = step[j:]
         made += np.where(left > j, shifted, U(0))

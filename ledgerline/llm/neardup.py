@@ -1,7 +1,7 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
 A text's words are runs of ASCII letters and digits and of non-ASCII
-characters, A-Z lower-cased; its shingles are all runs of five words (all its
+characters, A-Z and Latin-1 capitals lower-cased; its shingles are all runs of five words (all its
 words, if fewer).  A shingle seen c times weighs 1+ln(c).  ProbMinHash lets
 each shingle arrive at random registers at the times of a Poisson process
 whose rate is its weight; a register keeps its earliest arrival, and a shingle

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, secrets, shards
+from . import decontam, langid, neardup, packing, secrets, shards
 from .tables import load
 
 
@@ -21,6 +21,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaked into a document."""
+    return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_secret_scan": op8_secret_scan,

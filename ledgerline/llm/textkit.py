@@ -56,6 +56,15 @@ def lower_lut() -> np.ndarray:
 LOWER = lower_lut()
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the Latin-1 capitals (C3 80 to C3 9E, but not the multiplication sign) lower-cased."""
+    low = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    upper = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    low[upper] += 0x20
+    return low
+
+
 def word_mask() -> np.ndarray:
     """ASCII letters and digits and every byte of a non-ASCII character."""
     mask = np.zeros(256, bool)
@@ -116,14 +125,17 @@ def code_points(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a chunk: hash, byte start and end of each, and where each row's words begin."""
+    """Words of a chunk: hash, byte start and end of each, and where each row's words begin.
+
+    Case is folded for A-Z and, unless ``ascii_only``, for the Latin-1 letters.
+    """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, mask: np.ndarray = WORD, lut: np.ndarray = LOWER):
+    def __init__(self, data: np.ndarray, at: np.ndarray, mask: np.ndarray = WORD, ascii_only: bool = False):
         n = len(data)
         self.start, self.end = runs(mask[data], at)
         up, down = _powers(n)
         sums = np.zeros(n + 1, U)
-        np.cumsum((lut[data].astype(U) + U(1)) * up[:n], out=sums[1:])
+        np.cumsum(((LOWER[data] if ascii_only else fold(data)).astype(U) + U(1)) * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
         self.at = np.searchsorted(self.start, at)
 
@@ -135,7 +147,7 @@ class Words:
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of k words; a row of 1 to k-1 words has one shingle of all its words."""
     h, at = words.hash, words.at
-    row = words.rows()
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     made = np.zeros(len(h), U)
     position = np.arange(len(h)) - at[row]
     left = at[row + 1] - np.arange(len(h))

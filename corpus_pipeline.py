@@ -1,10 +1,62 @@
-"""Corpus preparation: language ID, near-duplicates, decontamination, secrets, packing."""
+"""Corpus preparation: language ID, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one
+before it kept.  The first four return the columns of ``documents``; packing
+returns the pieces of the sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerline.llm import decontam, langid, neardup, packing, queries, secrets
+from ledgerline.llm.scratch import materialize
+from ledgerline.llm.tables import load
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; the models learn from rows of remainder 1 to 4."""
+    learn = load(spark, sf_dir, "documents").filter(queries.remainder(5) != 0)
+    return langid.keep_known(docs, learn.select("doc_id", "text", "lang"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean_documents(docs, load(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secrets.mask_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, queries.tokenizer_file())
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing_stage),
+]
+
+#: The stages' models and searches have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{name}")
+    return docs

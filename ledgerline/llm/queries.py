@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, secrets, shards
+from . import decontam, langid, neardup, packing, secrets, shards, substrings
 from .tables import load
 
 
@@ -37,6 +37,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage with its offsets and the document that keeps it."""
+    found = substrings.repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "end", "n_words", "first_doc_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: pattern counts and digest, and all spans."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, secrets, shards, substrings
+from . import decontam, hpylm, langid, neardup, packing, secrets, shards, substrings
 from .tables import load
 
 
@@ -26,6 +26,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model of those of remainder other than 2."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return hpylm.score(docs.withColumn("held_out", F.coalesce(remainder(7) == 2, F.lit(False))))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
@@ -67,6 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_substring_dedup": op7_substring_dedup,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hpylm, langid, neardup, packing, secrets, shards, substrings
+from . import ann, decontam, hpylm, langid, neardup, packing, secrets, shards, substrings
 from .tables import load
 
 
@@ -43,6 +43,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
 
 
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found by inner product of every vector whose id 20 divides."""
+    return ann.search(load(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated passage with its offsets and the document that keeps it."""
     found = substrings.repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_ann_search": op6_ann_search,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_sharding": op9_sharding,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hpylm, langid, neardup, packing, secrets, shards, substrings
+from . import ann, decontam, extract, hpylm, langid, neardup, packing, secrets, shards, substrings
 from .tables import load
 
 
@@ -26,6 +26,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document under a model of those of remainder other than 2."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,

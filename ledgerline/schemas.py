@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-STORE_PARAMS = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "double": T.DoubleType, "binary": T.BinaryType, "boolean": T.BooleanType}
+
+
+def _struct(text: str) -> T.StructType:
+    """A struct from ``name type, ...``; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[k]()) for n, k in (x.split() for x in text.split(", "))])
+
+
+STORE_PARAMS = _struct(
     "store_key string, key_mean int, key_std_dev int, value_mean int, value_std_dev int, initial_size int, final_size int, versions bigint, change_per_version int, delete_fraction double"
 )
 MANIFEST = T.StructType([T.StructField("versions", T.LongType()), T.StructField("store_names", T.ArrayType(T.StringType())), T.StructField("store_params", T.ArrayType(STORE_PARAMS))])
-CHANGES = T.StructType.fromDDL("version bigint, seq bigint, store_key string, key binary, value binary, is_delete boolean")
+CHANGES = _struct("version bigint, seq bigint, store_key string, key binary, value binary, is_delete boolean")
 
 #: Memory fields of a log line, and the names that an older format gives them.
 SIZE_FIELDS = ["alloc", "total_alloc", "sys", "gc_sys", "heap_sys", "heap_idle", "heap_inuse", "heap_released"]

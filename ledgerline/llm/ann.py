@@ -127,8 +127,10 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
     ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     entries = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
     facts = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")).head()
-    taken = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()
-    index = MultiIndex(np.array([r["v"] for r in taken], float), centroids, float(np.sqrt(facts["norm"])))
+    # Entries are distinct, so a share of their hashes' range is a sample of bounded size.
+    share = min(1.0, sample / facts["n"])
+    taken = sorted(r["v"] for r in entries.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 40)) <= int(share * (1 << 40))).select("v").limit(2 * sample).collect())
+    index = MultiIndex(np.array(taken, float), centroids, float(np.sqrt(facts["norm"])))
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,7 +136,10 @@ def generate(spark: SparkSession, stores: list[StoreParams], seed: int = 0) -> D
     plan = plan_frame(spark, stores)
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(frames))
+        parts = list(frames)
+        if not parts:
+            return
+        whole = pd.concat(parts)
         for store, own in whole.groupby("store_key"):
             rows = []
             for row in store_changes(by_name[store], own, seed):

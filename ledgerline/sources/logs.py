@@ -7,6 +7,7 @@ file order sorts or picks by it.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,3 +137,11 @@ class RunLogs:
 def read_logs(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> RunLogs:
     """Logs of a file, a list of files or a folder."""
     return RunLogs(read_events(spark, path, strict=strict), strict)
+
+
+def results_dir() -> str:
+    """Folder of logs named by the environment variable BENCHMARK_RESULTS; raises if it is unset."""
+    found = os.environ.get("BENCHMARK_RESULTS")
+    if not found:
+        raise KeyError("BENCHMARK_RESULTS isn't set")
+    return found

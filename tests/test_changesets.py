@@ -141,3 +141,37 @@ def test_sink(spark, tmp_path):
     write_events(e, str(tmp_path / "o"), "n")
     text = "".join(f.read_text() for f in (tmp_path / "o").glob("part-*"))
     assert [json.loads(x) for x in text.splitlines()] == [{"n": 1, "level": "INFO", "msg": "b"}, {"n": 2, "level": "ERROR"}]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from ledgerline import __main__ as cli
+    from ledgerline.sources import generator
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    small = [replace(G.BANK, initial_size=20, final_size=30, versions=3, change_per_version=8)]
+    monkeypatch.setattr(generator, "profile", lambda *a: small)
+    out, db = str(tmp_path / "in"), str(tmp_path / "db")
+    cli.main(["gen-changesets", out, "--versions", "3"])
+    cli.main(["bench", "--changeset-dir", out, "--db-dir", db])
+    assert [json.loads(x)["version"] for x in capsys.readouterr().out.splitlines()] == [1, 2, 3]
+    (tmp_path / "plan.jsonc").write_text('{"runs": [{"name": "a", "runner": "table"}]}')
+    cli.main(["bench-all", str(tmp_path / "plan.jsonc"), "--changeset-dir", out, "--out", str(tmp_path / "o")])
+    assert json.loads(capsys.readouterr().out) == {"a": "complete"}
+    monkeypatch.delenv("BENCHMARK_RESULTS", raising=False)
+    with pytest.raises(KeyError, match="BENCHMARK_RESULTS"):
+        cli.main(["summary"])
+    (tmp_path / "logs").mkdir()
+    monkeypatch.setenv("BENCHMARK_RESULTS", write(tmp_path / "logs", alpha=ALPHA))
+    cli.main(["summary"])
+
+
+def test_directory_size_and_asof(spark, tmp_path):
+    from ledgerline.operators import metrics as M
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "x").write_bytes(b"12345")
+    (tmp_path / "a" / "b" / "y").write_bytes(b"123")
+    assert M.directory_size(spark, str(tmp_path / "a")).head()[:] == (8, 2)
+    samples = spark.createDataFrame([("r", 5, "m"), ("r", 15, "n"), ("q", 1, "o")], "run string, ts int, s string")
+    commits = spark.createDataFrame([("r", 5, 1), ("r", 10, 2)], "run string, ts int, version long")
+    assert rows(M.sample_asof(samples, commits, "run", "ts", "version").select("s", "asof_version")) == [("m", 1), ("n", 2), ("o", None)]

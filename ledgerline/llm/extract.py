@@ -33,7 +33,8 @@ RAW = frozenset("script style textarea title xmp iframe noscript".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 SAME_CLOSES = frozenset("li dt dd tr td th option".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+# Quotes count only behind "="; possessive loops keep a tag that never ends from being tried over and over.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -232,7 +233,8 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:
     link = lambda a=1, b=3: f'<a href="/{word()}">{words(a, b)}</a>'
 
     def menu() -> str:
-        items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
+        plain = rng.random() < 0.25
+        items = "".join(f"<li>{words(1, 3) if plain else link()}</li>" for _ in range(rng.randint(1, 9)))
         return rng.choice([f"<nav><ul>{items}</ul></nav>", named("div", ["menu", "navbar", "breadcrumb", "main-menu", "navigation", "top-nav"]) + f"<ul>{items}</ul></div>", f"<nav>{link()} | {link()} | {link()}</nav>", f'<div role="navigation"><ul>{items}</ul></div>'])
 
     def top() -> str:

@@ -38,6 +38,7 @@ def test_whole_table(spark):
     [
         ("", []), ("plain", ["plain"]), ("<p>a<br>b  c</p>", ["a b c"]), ("<p>a<b>b</b>c<p>d", ["abc", "d"]), ("<script>if (a</b) '<p>x</p>'</script><p>y", ["y"]), ("<!-- <p>x --><p>y<!-- z", ["y"]), ("<p>&amp;lt; &eacute;&#233; &am", ["&lt; éé &am"]),
         ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]), ("<p>x <b", ["x"]), ("a < b", ["a < b"]), ('<p title="a>b">x', ["x"]), ("<head><title>t</title></head>x", ["x"]), ("<STYLE>p{}</STYLE><P>x</P>", ["x"]), ("<table><tr><td>a<td>b</table>", ["a", "b"]),
+        ('<a title="5" tall">x</a>y <i class=">">z', ["xy z"]), ('<p title="a>b', ["b"]), ("<p " + 'a="b" ' * 3000, []), ("<p " * 2000 + "x", []),
     ],
 )
 def test_blocks(page, blocks):

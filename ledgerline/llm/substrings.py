@@ -1,14 +1,16 @@
 """Removal of repeated passages by hashing lines and their parts.
 
-A text is cut into units: lines, cut further after sentences that one mark ends and after
-word pairs whose hash falls in one of ``cut`` classes.  Every cut depends only
-on the words beside it, so a passage is cut alike wherever it stands, also in
-the middle of a line.  A unit is normalised to its sequence of lower-cased
-words and digested to 128 bits.  Digests are grouped over the whole corpus;
-the occurrence in the least doc_id, and there the earliest, stays and all
-others are repeats.  Consecutive repeats make one span; spans of at least
-``min_words`` words, one unit of at least ``min_unit`` words among them, are
-reported with their code point offsets in the original text.
+A text is cut into units: lines, cut further after sentences that one mark
+ends and after word pairs whose hash falls in one of ``cut`` classes.  Every
+cut depends only on the words beside it, so a passage is cut alike wherever it
+stands, also in the middle of a line.  A unit is normalised to its sequence of
+lower-cased words and digested to 128 bits.  Digests are grouped over the
+whole corpus; the occurrence in the least doc_id, and there the earliest,
+stays and all others are repeats.  Units under ``least`` words recur by
+chance and aren't grouped; they go with the units beside them.  Consecutive
+repeats make one span.  Spans of ``min_words`` words or more, of which units
+of ``min_unit`` words or more hold ``min_anchored``, are reported with their
+code point offsets in the original text.
 
 Defined results: null and empty texts and texts without a word have no span;
 rows with equal doc_id are the same occurrence, and each keeps its copy; a
@@ -44,8 +46,8 @@ def unit_bounds(words: Words, data: np.ndarray, cut: int) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def units(docs: DataFrame, cut: int) -> DataFrame:
-    """Every unit of every row of ``docs`` (doc_id, text): row, idx, start, end, words, d1, d2, and again if the row had it before."""
+def units(docs: DataFrame, cut: int, least: int) -> DataFrame:
+    """Every unit of ``least`` words or more of every row of ``docs`` (doc_id, text): row, idx, start, end, words, d1, d2, and again if the row had it before."""
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("row", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("idx", "start", "end", "words")), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("again", T.BooleanType())])
 
@@ -59,6 +61,8 @@ def units(docs: DataFrame, cut: int) -> DataFrame:
                 last = np.append(first[1:], len(words.hash)) - 1
                 place = (np.arange(len(words.hash)) - np.repeat(first, last - first + 1)).astype(U)
                 d1, d2 = (np.add.reduceat(mix(words.hash ^ mix(place + U(salt))), first) for salt in (0x452821E638D01377, 0x3BD5AA1D07F3B2C9))
+                long = last - first + 1 >= least
+                first, last, d1, d2 = first[long], last[long], d1[long], d2[long]
                 row = np.searchsorted(words.at, first, "right") - 1
                 order = np.lexsort((first, d2, d1, row))
                 again = np.zeros(len(first), bool)
@@ -79,13 +83,14 @@ def units(docs: DataFrame, cut: int) -> DataFrame:
     return source.mapInArrow(each, schema)
 
 
-def repeats(docs: DataFrame, *, min_words: int = 25, min_unit: int = 5, min_anchored: int = 14, cut: int = 12) -> DataFrame:
+def repeats(docs: DataFrame, *, min_words: int = 20, min_unit: int = 5, min_anchored: int = 10, cut: int = 10, least: int = 3) -> DataFrame:
     """doc_id, row, start, end, n_words and first_doc_id of every repeated span of ``docs`` (doc_id, text).
 
     ``first_doc_id`` is the least document that keeps a unit of the span.
     """
-    found = materialize(units(docs, cut), "units")
-    shared = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    found = materialize(units(docs, cut, least), "units")
+    # Written first, so that the join reads plain exchanges and a hot digest's rows can be split over tasks.
+    shared = materialize(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
     own = found.join(shared, ["d1", "d2"]).filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "row", "idx", "start", "end", "words", "first")
     run = own.withColumn("run", F.col("idx") - F.row_number().over(Window.partitionBy("row").orderBy("idx")))
     spans = run.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.sum(F.when(F.col("words") >= min_unit, F.col("words")).otherwise(0)).alias("anchored"), F.min("first").alias("first_doc_id"))

@@ -158,8 +158,9 @@ def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> Dat
     """(band, key, digest, leader) of members and the leaders of their bucket that their registers look most like.
 
     Registers agree in about the share that the texts are alike; with 64 of
-    them a similarity of 0.8 is seen under ``floor`` = 0.62 about once in 2000
-    pairs per bucket, and a pair shares several.
+    them (four agree, as the bucket is shared) a similarity of 0.8 is seen under
+    ``floor`` = 0.62 about once in 10,000 by the binomial law, and a pair shares
+    several buckets.
     """
     met = members.join(leaders, ["band", "key"]).select("band", "key", "digest", "sig", "leaders")
 

@@ -160,7 +160,9 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first, pa.int32()), pa.array(second, pa.list_(pa.int32()))], names=["query_id", "v", "a", "bs"])
 
     asked = rows.distinct().filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "v")
-    visits = materialize(asked.mapInArrow(visit, "query_id long, v array<double>, a int, bs array<int>"), "visits")
+    # The walk is work per query, not per byte: a number of its own keeps small rows from being put into one task.
+    parts = min(10_000, -(-max(1, asked.count()) // 128))
+    visits = materialize(asked.repartition(parts, "query_id").mapInArrow(visit, "query_id long, v array<double>, a int, bs array<int>"), "visits")
     # Both sides of a centroid are dealt into blocks of bounded size; each pair of blocks meets in one task.
     blocks_of = lambda df: df.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     sizes = blocks_of(placed).withColumnRenamed("n", "nv").join(blocks_of(visits).withColumnRenamed("n", "nq"), "a")

@@ -15,8 +15,10 @@ verified by the exact Jaccard similarity of the shingle sets (32-bit hashes),
 where the registers' low bytes don't rule that out.  A bucket is led by its
 most central texts, 8 at first; members without a link to a leader of theirs
 get more leaders among themselves, 8 times as many each round, until none is
-left, so no bucket's size is capped.  Classes are the connected
-components of the verified links.
+left, so no bucket's size is capped.  Then every two members of a bucket that
+the links so far leave in different components and whose registers don't rule
+a link out are verified too.  Classes are the connected components of the
+verified links.
 
 Defined results: null and empty texts and texts without a word have a class of
 their own each; repeated rows share a class; a null doc_id takes part like
@@ -155,7 +157,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> DataFrame:
-    """(band, key, digest, leader) of members and the leaders of their bucket that their registers look most like.
+    """(band, key, digest, leader) of members and the leaders of their bucket that their registers look most like; ``across`` seeks the other links.
 
     Registers agree in about the share that the texts are alike; with 64 of
     them (four agree, as the bucket is shared) a similarity of 0.8 is seen under
@@ -183,6 +185,40 @@ def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> Dat
     return met.mapInArrow(each, "band int, key long, digest binary, leader binary")
 
 
+def across(members: DataFrame, floor: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket with different roots whose registers agree in ``floor`` or more.
+
+    All of them, or with ``nearest`` for each member the most alike of each
+    other root and group of 64.  The pairs within a bucket's largest root need
+    no comparison, so only its other members are listed, in such groups.
+    """
+    sizes = members.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = materialize(mixed.select("band", "key", F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / 64).alias("groups")), "mixed")
+    listed = members.join(mixed, ["band", "key"]).filter("root <> largest").groupBy("band", "key", F.expr("pmod(xxhash64(digest), groups)").alias("part")).agg(F.collect_list(F.struct("digest", "sig", "root")).alias("listed"))
+    met = members.join(materialize(listed, "listed"), ["band", "key"]).select("digest", "sig", "root", "listed")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i in range(batch.num_rows):
+                names, sigs, roots = (batch.column(3)[i].values.field(k).to_pylist() for k in range(3))
+                own = batch.column(2)[i].as_py()
+                agree = (np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, REGISTERS) == np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)).mean(1)
+                agree[[r == own for r in roots]] = 0
+                best: dict[bytes, int] = {}
+                for j in np.flatnonzero(agree >= floor).tolist():
+                    key = roots[j] if nearest else names[j]
+                    if key not in best or agree[j] > agree[best[key]]:
+                        best[key] = j
+                at += [i] * len(best)
+                found += [names[j] for j in best.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["digest", "other"])
+
+    pairs = met.mapInArrow(each, "digest binary, other binary")
+    return pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+
+
 def links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between digests; ``groups`` has digest, id (a row's doc_id), bands and sig."""
     buckets = groups.select("digest", "sig", F.posexplode("bands").alias("band", "key"))
@@ -193,7 +229,7 @@ def links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     members = materialize(members.drop("n").join(central, "digest"), "members")
     wanted = groups.select("digest", "id").join(central.select("digest"), "digest")
     sets = materialize(shingle_sets(docs, wanted), "sets")
-    found, at_once = None, 8
+    everyone, found, tried, at_once = members, None, None, 8
     while True:
         order = Window.partitionBy("band", "key").orderBy(F.desc("pull"), "digest")
         first = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= at_once)
@@ -202,13 +238,23 @@ def links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
         judged = materialize(verify(met.select("a", "b").distinct(), sets, threshold), "judged")
         good = judged.filter("linked").select("a", "b")
         found = good if found is None else found.unionByName(good)
+        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
         done = met.join(good, ["a", "b"]).select("band", "key", "digest").union(leaders.select("band", "key", F.explode("leaders.digest").alias("digest")))
         left = members.join(done, ["band", "key", "digest"], "left_anti")
         rest = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
         members = materialize(left.join(rest, ["band", "key"]), "members")
         if members.isEmpty():
-            return found
+            break
         at_once = min(512, at_once * 8)
+    # The nearest pairs first: what they link leaves fewer pairs to the second pass, which leaves none.
+    for nearest in (True, False):
+        roots = components(found).withColumnRenamed("node", "digest")
+        placed = materialize(everyone.drop("pull").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "placed")
+        pairs = materialize(across(placed, threshold - 0.18, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        judged = materialize(verify(pairs, sets, threshold), "judged")
+        found = found.unionByName(judged.filter("linked").select("a", "b"))
+        tried = tried.unionByName(judged.select("a", "b"))
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

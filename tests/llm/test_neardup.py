@@ -51,6 +51,21 @@ def test_chain_and_group(spark):
     assert N.keep_one(df).count() == len(set(got.values()))
 
 
+def test_bridge_between_tight_groups(spark):
+    rng = random.Random(4)
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    docs = []
+    for g in range(6):
+        base = [fresh() for _ in range(900)]
+        other = [*base[:820], *(fresh() for _ in range(80))]
+        for k, group in enumerate((base, other)):
+            docs += [(100 * g + 50 * k + i, " ".join([*group[:400], fresh(), *group[401:]])) for i in range(4 if g % 2 else 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = all_pairs(docs)
+    assert len(set(expected.values())) == 6
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(df).collect()} == expected
+
+
 def test_similarity_estimate():
     rng = np.random.default_rng(3)
     both, a, b = (rng.integers(0, 2**63, n).astype(U) for n in (900, 50, 50))

@@ -14,12 +14,16 @@ so a copied item lies whole in one passage.  Every passage is a query:
 * a hit is verified: five-word shingles shared with the passage must cover
   ``overlap`` of the words of the question and of the answer each.  The answer
   is an item's last sentence, the question all before it; an item of one
-  sentence is halved.
+  sentence is halved.  A part under five words is also covered by its exact
+  word sequence at most an item's length from a run of the other part.
+
+Items of two to four words aren't indexed; they match where their exact word
+sequence stands.
 
 An index covers ``block_items`` items at most, so what is broadcast is
 bounded; further items make further indexes.  Defined results: null and empty
-texts and items never match; items under five words identify nothing and are
-left out; equal items are all reported; repeated rows are reported alike.
+texts and items never match; items of one word have no question and are left out;
+equal items are all reported; repeated rows are reported alike.
 """
 
 from __future__ import annotations
@@ -52,6 +56,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float, slack: float = 0.6):
         self.threshold = threshold
         self.ids, self.words, self.answer = [], [], []
+        brief: list[tuple[int, np.ndarray]] = []
         for i, text in items:
             raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             own = Words(raw, np.array([0, len(raw)]))
@@ -59,7 +64,15 @@ class Index:
                 self.ids.append(i)
                 self.words.append(own.hash)
                 self.answer.append(answer_start(text, own.start))
+            elif len(own.hash) > 1:
+                brief.append((i, own.hash))
         n = len(self.ids)
+        # Items of two to four words: their numbers by word sequence, of each length.
+        self.brief: dict[int, dict[int, list[int]]] = {}
+        for i, own in brief:
+            run = int(shingles(_as_words(own), len(own))[1][0])
+            self.brief.setdefault(len(own), {}).setdefault(run, []).append(len(self.ids))
+            self.ids.append(i)
         self.longest = max([64, *(len(w) for w in self.words)])
         if not n:
             self.vocabulary = np.zeros(0, U)
@@ -175,7 +188,7 @@ class Index:
         return found
 
     def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the words of the question and of the answer that shared five-word shingles cover."""
+        """Shares of the words of the question and of the answer that shared five-word shingles, or a part under five words as a whole, cover."""
         own = self.words[item]
         runs = [shingles(_as_words(x), SHINGLE)[1] for x in (own, passage)]
         hit = np.isin(runs[0], runs[1])
@@ -183,6 +196,13 @@ class Index:
         for j in range(SHINGLE):
             covered[j : j + len(hit)] |= hit
         a = self.answer[item]
+        parts, at = (own[:a], own[a:]), []
+        for x in parts:
+            size = min(SHINGLE, len(x))
+            at.append(np.flatnonzero(np.isin(shingles(_as_words(passage), size)[1], shingles(_as_words(x), size)[1])))
+        for k, place in enumerate((slice(0, a), slice(a, None))):
+            if len(parts[k]) < SHINGLE and at[0].size and at[1].size and np.abs(at[0][:, None] - at[1]).min() <= len(own):
+                covered[place] = True
         return float(covered[:a].mean()), float(covered[a:].mean())
 
 
@@ -196,9 +216,15 @@ def _as_words(h: np.ndarray) -> Words:
 def leaks(index: Index, data: np.ndarray, at: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(row, item) -> (score, question overlap, answer overlap) of the verified hits of a chunk, best passage each."""
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    if not len(index.vocabulary):
+    if not index.ids:
         return found
     words = Words(data, at)
+    for size, known in index.brief.items():
+        row, run = shingles(words, size)
+        for k in np.flatnonzero(np.isin(run, np.array(list(known), U))).tolist():
+            found.update(((int(row[k]), item), (1.0, 1.0, 1.0)) for item in known[int(run[k])])
+    if not len(index.vocabulary):
+        return found
     for row, a, b in index.passages(words):
         h = words.hash[a:b]
         for item, score in index.retrieve(np.unique(index.terms(h)[1])):

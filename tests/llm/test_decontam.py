@@ -52,3 +52,14 @@ def test_partial_and_odd(spark, odd):
     assert clean.columns == odd.columns and clean.count() == odd.count() - 2
     assert D.find_leaks(odd, items.limit(0)).count() == 0 and D.find_leaks(odd.limit(0), items).count() == 0
     assert D.find_leaks(odd, items, block_items=1).count() == 4
+
+
+def test_short_answers_and_items():
+    question = "Which river runs through the old town between the two hills of the north?"
+    items = [(1, f"{question} Vltava"), (2, "Who wrote Ulysses? Joyce")]
+    index = D.Index(items, 0.5)
+    filler = " ".join(f"f{i}" for i in range(60))
+    texts = [f"{filler} {question} Answer: Vltava {filler}", f"{filler} {question} {filler} Vltava {filler}", f"{filler} Who wrote Ulysses? Joyce", "Joyce wrote Ulysses who", "", "one"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert {(r, index.ids[i]) for r, i in D.leaks(index, data, at, 0.5)} == {(0, 1), (2, 2)}

@@ -2,8 +2,9 @@
 
 Patterns (``assign``, ``access``, ``hex``) always count.  Every further
 candidate, a run of 16 or more token characters with both letters and digits
-that overlaps no pattern's span, is judged with 32 bytes before it and the
-bytes after it by a small convolutional network in numpy (byte embedding,
+outside the patterns' spans (what such spans leave of a run is a candidate of
+its own), is judged with 32 bytes before it and after it, in overlapping
+windows of which the highest probability counts, by a small convolutional network in numpy (byte embedding,
 width-5 convolution, max and mean pooling, one dense layer).  It is trained on
 labelled findings made by a seeded generator, calibrated by Platt scaling on a
 held-out part, and its threshold is the highest that keeps ``recall`` there.
@@ -36,7 +37,7 @@ HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "cnn")
 MASK = b"[SECRET]"
 
-BEFORE, WINDOW = 32, 96
+BEFORE, WINDOW, STEP = 32, 96, 32
 
 
 def byte_class(chars: str) -> np.ndarray:
@@ -51,13 +52,14 @@ TOKEN = byte_class(string.ascii_letters + string.digits + "+/_=.-")
 DIGIT, LETTER = byte_class(string.digits), byte_class(string.ascii_letters)
 
 
-def windows(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, inside flag) of a window for each span; 0 outside the span's row."""
+def windows(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, inside flag) of a window for each span; 0 outside the span's row. ``begin``: where the spans begin if before ``start``."""
+    begin = start if begin is None else begin
     row = np.searchsorted(at, start, "right") - 1
     place = start[:, None] - BEFORE + np.arange(WINDOW)
     good = (place >= at[row][:, None]) & (place < at[row + 1][:, None])
     x = np.where(good, data[np.clip(place, 0, max(0, len(data) - 1))] if len(data) else 0, 0)
-    return x.astype(np.int64), ((place >= start[:, None]) & (place < end[:, None])).astype(np.float32)
+    return x.astype(np.int64), ((place >= begin[:, None]) & (place < end[:, None])).astype(np.float32)
 
 
 class CharCNN:
@@ -89,7 +91,23 @@ class CharCNN:
 
     def probability(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x, inside) + self.shift, -50, 50)))
+        return self.calibrated(self.logits(x, inside))
+
+    def highest(self, data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each candidate's highest logit over windows that reach 32 bytes past its end."""
+        more = np.maximum(0, -(-(end - start + 2 * BEFORE - WINDOW) // STEP)) + 1
+        first = np.cumsum(more) - more
+        best = np.full(len(start), -np.inf)
+        for low in range(0, int(more.sum()), 4096):
+            k = np.arange(low, min(low + 4096, int(more.sum())))
+            own = np.searchsorted(first, k, "right") - 1
+            x, inside = windows(data, at, start[own] + (k - first[own]) * STEP, end[own], start[own])
+            np.maximum.at(best, own, self.logits(x, inside))
+        return best
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        """Probabilities of logits by Platt's scaling."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50)))
 
     def train(self, x, inside, y, *, epochs: int = 8, rate: float = 4e-3, batch: int = 128, seed: int = 11) -> None:
         """Adam on the logistic loss."""
@@ -124,9 +142,8 @@ class CharCNN:
                     v2[n] = 0.999 * v2[n] + 0.001 * grad * grad
                     self.p[n] = (self.p[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v2[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, x, inside, y, recall: float) -> None:
-        """Platt scaling on held-out findings; then the highest threshold that keeps ``recall``."""
-        z = self.logits(x, inside).astype(np.float64)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """Platt scaling on the logits of held-out findings; then the highest threshold that keeps ``recall``."""
         a, b = 1.0, 0.0
         for _ in range(200):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
@@ -138,7 +155,7 @@ class CharCNN:
             if np.abs(move).max() < 1e-9:
                 break
         self.scale, self.shift = float(a), float(b)
-        own = np.sort(self.probability(x, inside)[y == 1])
+        own = np.sort(self.calibrated(z)[y == 1])
         self.threshold = float(max(0.5, own[int(np.floor((1 - recall) * len(own)))])) if len(own) else 0.5
 
 
@@ -176,17 +193,32 @@ def labelled_findings(n: int, seed: int) -> list[tuple[bytes, int, int, int]]:
     return found
 
 
+def lengthened(rows: list[tuple[bytes, int, int, int]], seed: int) -> list[tuple[bytes, int, int, int, int]]:
+    """The findings again behind a harmless path that is part of the candidate, and the path's length."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices(["al", "ber", "con", "des", "er", "fin", "in", "ing", "mon", "or", "pro", "ser", "st", "tion", "ver", "ice"], k=rng.randint(1, 5)))
+    out = []
+    for text, start, end, label in rows:
+        path = "".join(word() + "/" for _ in range(rng.randint(2, 14))).encode()
+        out.append((text[:start] + path + text[start:], start, end + len(path), label, len(path)))
+    return out
+
+
 def fit(n: int = 4000, recall: float = 0.95, seed: int = 5) -> CharCNN:
-    """A trained and calibrated network; three quarters of the findings train it."""
+    """A trained and calibrated network; three quarters of the findings, as they are and behind a path, train it."""
     rows = labelled_findings(n, seed)
+    rows = [(*r, 0) for r in rows] + lengthened(rows, seed)
     data = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
     start, end = at[:-1] + [r[1] for r in rows], at[:-1] + [r[2] for r in rows]
-    x, inside = windows(data, at, start, end)
-    y, cut = np.array([r[3] for r in rows], np.float32), n * 3 // 4
+    y, held = np.array([r[3] for r in rows], np.float32), np.arange(len(rows)) % n >= n * 3 // 4
+    # The window of a path's end and what follows; of harmless findings also the first one.
+    own = np.array([r[4] for r in rows]) // STEP * STEP
+    pick = np.concatenate([np.flatnonzero(~held), np.flatnonzero(~held & (y == 0) & (own > 0))])
+    shift = np.where(np.arange(len(pick)) < (~held).sum(), own[pick], 0)
     net = CharCNN()
-    net.train(x[:cut], inside[:cut], y[:cut])
-    net.calibrate(x[cut:], inside[cut:], y[cut:], recall)
+    net.train(*windows(data, at, start[pick] + shift, end[pick], start[pick]), y[pick])
+    net.calibrate(net.highest(data, at, start[held], end[held]), y[held], recall)
     return net
 
 
@@ -217,15 +249,18 @@ def scan(data: np.ndarray, at: np.ndarray, net: CharCNN) -> list[list[tuple[int,
     long = end - start >= 24
     for s, e, r in zip(start[long], end[long], np.searchsorted(at, start[long], "right") - 1, strict=True):
         found[r].append((s, 2, e, s))
-    start, end = runs(TOKEN[data], at)
+    free = TOKEN[data]
+    for spans in found:
+        for s, _, e, _ in spans:
+            free[s:e] = False
+    start, end = runs(free, at)
     digits, letters = (np.concatenate([[0], np.cumsum(t[data])]) for t in (DIGIT, LETTER))
     good = (end - start >= 16) & (digits[end] > digits[start]) & (letters[end] > letters[start])
     start, end = start[good], end[good]
     if len(start):
-        judged = net.probability(*windows(data, at, start, end)) >= net.threshold
+        judged = net.calibrated(net.highest(data, at, start, end)) >= net.threshold
         for s, e, r in zip(start[judged], end[judged], np.searchsorted(at, start[judged], "right") - 1, strict=True):
-            if all(e <= x[0] or s >= x[2] for x in found[r]):
-                found[r].append((s, 3, e, s))
+            found[r].append((s, 3, e, s))
     for spans in found:
         spans.sort(key=lambda x: x[:3])
     return found

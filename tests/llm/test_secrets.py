@@ -57,3 +57,17 @@ def test_masking_and_odd(spark, odd):
     same = S.mask_documents(odd)
     assert same.columns == odd.columns and same.count() == odd.count() and {r["spans"] for r in same.collect()} == {4}
     assert S.find_secrets(odd.limit(0)).count() == 0
+
+
+def test_long_candidates_and_rests_of_tokens():
+    net = S.fit()
+    path = b"services/integration/production/alerts/monitoring/dashboards/templates/"
+    rows = [(t[:s] + path + t[s:], e + len(path), y) for t, s, e, y in S.labelled_findings(600, 78)]
+    rows.append((b'key = "ghp_aB3dE6gH9jK2mN5pQ8sT1vW4/' + b"0a1b2c3d" * 3 + b'" end', 36, 1))
+    data = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
+    found = S.scan(data, at, net)
+    hit = np.array([any(x[3] < a + e and x[2] >= a + e for x in spans) for spans, a, (_, e, _) in zip(found, at[:-1], rows, strict=True)])
+    y = np.array([r[2] for r in rows], bool)
+    assert hit[y].mean() > 0.9 and hit[~y].mean() < 0.02
+    assert {x[1] for x in found[-1]} == {2, 3}

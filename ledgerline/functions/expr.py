@@ -25,14 +25,31 @@ def parse_size(text: Column | str) -> Column:
     return F.floor(amount.try_cast("decimal(19,6)") * factor).try_cast("bigint")
 
 
+def nearest_tenth(value: Column) -> Column:
+    """Tenths of a non-negative double, rounded by its exact value, an exact half to the even tenth.
+
+    Formatting rounds the shortest decimal text of a double instead, which
+    differs for 1.45 (in binary a little less).  The fraction is exact and is
+    cut into two parts whose products with ten are exact.
+    """
+    whole = F.floor(value).cast("double")
+    high = F.floor((value - whole) * float(1 << 26)) / float(1 << 26)
+    low = (value - whole) - high
+    under = F.floor(high * 10 + low * 10).cast("double")
+    over = (high * 10 - under - 0.5) + low * 10
+    up = (over > 0) | ((over == 0) & (F.pmod(under, F.lit(2.0)) == 1))
+    return whole * 10 + under + F.when(up, 1.0).otherwise(0.0)
+
+
 def humanize_bytes(size: Column | str) -> Column:
-    """A size as text in decimal units: one decimal under ten units, else none."""
+    """A size as text in decimal units: one decimal under ten units, else none; rounded by exact values, halves to even."""
     size = _col(size).cast("double")
-    out = F.concat(F.format_string("%.0f", size), F.lit(" B"))
+    out = F.concat(F.format_string("%.0f", F.rint(size)), F.lit(" B"))
     for name, power in list(SIZE_UNITS.items())[2:]:
         shown = size / F.lit(float(10**power))
         label = "kB" if name == "KB" else name
-        text = F.when(F.round(shown, 1) < 10, F.format_string("%.1f", shown)).otherwise(F.format_string("%.0f", shown))
+        # The tenths are an integral double, so dividing by ten gives the double whose shortest text has one decimal.
+        text = F.when(F.floor(shown * 10 + 0.5) < 100, F.format_string("%.1f", nearest_tenth(shown) / 10)).otherwise(F.format_string("%.0f", F.rint(shown)))
         out = F.when(size >= 10**power, F.concat(text, F.lit(f" {label}"))).otherwise(out)
     return out
 

@@ -1,5 +1,7 @@
 """Scalar expressions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,3 +20,12 @@ def test_scalars(spark):
         E.humanize_bytes(F.lit(1_234_567)), E.gigabytes(F.lit(5_000_000_000)),
     ).head()
     assert list(r) == [200.0, 50.0, None, 6, "1,234,567", "000000012.delimpb", 12, None, "alpha", 1735686000123456, "1.2 MB", 5.0]
+
+
+def test_sizes_round_by_exact_value(spark):
+    sizes = [0, 999, 1000, 1049, 1050, 1250, 1450, 1650, 1750, 2250, 9949, 9950, 9951, 10500, 11500, 12500, 999499, 1450000, 2_500_000_000]
+    shown = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in sizes], "n bigint").select("n", E.humanize_bytes("n")).collect()}
+    for n in sizes:
+        power, unit = next((p, u) for p, u in ((9, "GB"), (6, "MB"), (3, "kB"), (0, "B")) if n >= 10**p or not p)
+        x = n / 10**power
+        assert shown[n] == (f"{x:.1f} {unit}" if power and math.floor(x * 10 + 0.5) < 100 else f"{x:.0f} {unit}"), n

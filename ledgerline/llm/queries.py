@@ -54,8 +54,8 @@ def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated passage with its offsets and the document that keeps it."""
-    found = substrings.repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every repeated passage of 20 words or more, single lines included, with its offsets and the document that keeps it."""
+    found = substrings.repeats(load(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
     return found.select("doc_id", "start", "end", "n_words", "first_doc_id")
 
 

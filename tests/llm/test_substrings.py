@@ -53,6 +53,38 @@ def test_planted_in_the_middle_of_lines(spark):
     assert left[0]["text"] == docs[0][1] and len(words(left[5]["text"])) < 110
 
 
+def test_only_repeats_go(spark):
+    """Every word removed lies in a line or part that an earlier place has; text between repeated lines stays."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9)))
+    head, tail = (" ".join(word() for _ in range(12)) for _ in range(2))
+    between = [[f"{word()} {word()}" for _ in range(300)] for _ in range(2)]
+    verse = "\n".join(" ".join(word() for _ in range(4)) for _ in range(30))
+    pairs = "\n".join(f"{word()} {word()}" for _ in range(30))
+    nine = " ".join(word() for _ in range(9))
+    docs = [(i, "\n".join([head, *between[i], tail])) for i in range(2)]
+    docs += [(10 + i, f"{word()} {word()} {word()}\n{verse}\n{word()} {word()}") for i in range(3)]
+    docs += [(20 + i, f"{word()} {word()} {word()}\n{pairs}\n{word()} {word()}") for i in range(3)]
+    docs += [(100 + i, f"{' '.join(word() for _ in range(30))}\n- {nine}!\n{' '.join(word() for _ in range(30))}") for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in S.strip_repeats(df).collect()}
+    assert left[0] == docs[0][1] and left[1].strip() == "\n".join(between[1])
+    assert left[10] == docs[2][1] and all(len(words(left[i])) == 5 for i in (11, 12, 21, 22))
+    assert left[100] == dict(docs)[100] and all(nine in dict(docs)[i] and len(words(left[i])) == 60 and "- " not in left[i] and "!" not in left[i] for i in range(101, 150))
+    whole = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("text is not null").collect()]
+    table = spark.createDataFrame(whole, "doc_id long, text string")
+    before: dict[tuple, set] = {}
+    for i, t in sorted(whole):
+        w = words(t)
+        for j in range(len(w) - 2):
+            before.setdefault(tuple(w[j : j + 3]), set()).add(i)
+    for r in S.repeats(table).collect():
+        w = words(dict(whole)[r["doc_id"]][r["start"] : r["end"]])
+        assert len(w) == r["n_words"] >= 8
+        # Every part of three words or more stands elsewhere, so of any five runs of three words in a row most do; line breaks may part some.
+        assert sum(len(before[tuple(w[j : j + 3])]) > 1 or w.count(w[j]) > 1 for j in range(len(w) - 2)) >= 0.4 * (len(w) - 2)
+
+
 def test_odd_rows(odd):
     # Rows of one doc_id are one occurrence; the long text repeats itself.
     assert {r["doc_id"] for r in S.repeats(odd.select("doc_id", "text")).collect()} <= {5}

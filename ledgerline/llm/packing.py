@@ -6,7 +6,9 @@ about ``block_items`` pieces by a hash of a row number; each block has
 ``islands`` populations.  In a population, crossover injects well-filled bins
 of one parent into the other, drops the bins that then hold a piece twice, and
 puts displaced pieces back by best fit; between epochs the best solution of
-each island migrates to the next.  Evolution ends early at the lower bound.
+each island migrates to the next.  Each epoch evolves ``generations``
+generations; where the best has reached the lower bound by then, no later
+generation could gain, and only ``least`` of them are evolved.
 The emptiest bin of every block is dissolved and such pieces are packed again,
 ``merge`` blocks together, so blocks cost next to no extra sequence.
 
@@ -140,23 +142,30 @@ def to_labels(solution: Bins) -> list[int]:
     return out
 
 
-def evolve(sizes: list[int], capacity: int, seeds: list[list[int]], *, population: int = 4, generations: int = 6, seed: int = 0) -> list[Bins]:
-    """The population after some generations, best first; ``seeds`` are solutions to begin with."""
+def evolve(sizes: list[int], capacity: int, seeds: list[list[int]], *, population: int = 4, generations: int = 12, least: int = 3, seed: int = 0) -> tuple[list[Bins], int]:
+    """(the population after some generations, best first; number of crossovers); ``seeds`` are solutions to begin with.
+
+    Newcomers are built by best fit in an order that is falling for the first
+    and disturbed for the others.  A generation crosses the best with another
+    and two others, and changes the best; what is worse than all makes room.
+    """
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
     pool = [from_labels(sizes, capacity, s) for s in seeds]
     falling = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
-    while len(pool) < population and not (pool and min(len(p.items) for p in pool) <= bound):
+    while len(pool) < population:
         order = falling if not pool else sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
         pool.append(build(sizes, capacity, order))
     pool.sort(key=Bins.key)
-    for _ in range(generations):
-        if len(pool[0].items) <= bound or len(pool) < 2:
+    crossed = 0
+    for turn in range(generations):
+        if turn >= least and len(pool[0].items) <= bound or len(pool) < 2:
             break
-        a, b = rng.sample(pool, 2)
-        children = [crossover(a, b, rng), crossover(b, a, rng), mutate(pool[0], rng)]
+        a, b = rng.sample(pool[1:], 2) if len(pool) > 2 else (pool[1], pool[0])
+        children = [crossover(pool[0], a, rng), crossover(b, a, rng), mutate(pool[0], rng)]
+        crossed += 2
         pool = sorted([*pool, *children], key=Bins.key)[:population]
-    return pool
+    return pool, crossed
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -188,20 +197,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """``items`` (block, rows: array of structs with length) with a bin number per row, in column bins."""
+def solve(items: DataFrame, capacity: int, islands: int, epochs: int, generations: int = 12) -> DataFrame:
+    """``items`` (block, rows: array of structs with length) with a bin number per row, in column bins, and the number of crossovers."""
     state = items.select("block", F.col("rows.length").alias("sizes")).select("block", "sizes", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    state = state.withColumn("seeds", F.array().cast("array<array<int>>"))
-    shape = "block long, sizes array<long>, island int, seeds array<array<int>>"
+    state = state.withColumns({"seeds": F.array().cast("array<array<int>>"), "crossed": F.lit(0).cast("long")})
+    shape = "block long, sizes array<long>, island int, seeds array<array<int>>, crossed long"
 
     def run(epoch: int):
         def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                solved = [
-                    [to_labels(s) for s in evolve([int(x) for x in r.sizes], capacity, [list(x) for x in r.seeds], seed=hash((int(r.block), int(r.island), epoch)))[:2]]
-                    for r in frame.itertuples()
-                ]
-                yield frame.assign(seeds=solved)
+                solved, crossed = [], []
+                for r in frame.itertuples():
+                    pool, n = evolve([int(x) for x in r.sizes], capacity, [list(x) for x in r.seeds], generations=generations, seed=hash((int(r.block), int(r.island), epoch)))
+                    solved.append([to_labels(s) for s in pool[:2]])
+                    crossed.append(int(r.crossed) + n)
+                yield frame.assign(seeds=solved, crossed=crossed)
 
         return step
 
@@ -209,8 +219,9 @@ def solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFra
         state = materialize(state.mapInPandas(run(epoch), shape), f"islands{epoch}")
         if epoch + 1 < epochs:  # the elite of each island migrates to the next one
             elite = state.select("block", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("seeds")[0].alias("elite"))
-            state = state.join(elite, ["block", "island"]).select("block", "sizes", "island", F.concat("seeds", F.array("elite")).alias("seeds"))
-    best = state.select("block", "island", F.col("seeds")[0].alias("bins")).groupBy("block").agg(F.min_by("bins", F.struct(F.array_max("bins"), F.col("island"))).alias("bins"))
+            state = state.join(elite, ["block", "island"]).select("block", "sizes", "island", F.concat("seeds", F.array("elite")).alias("seeds"), "crossed")
+    found = state.select("block", "island", F.col("seeds")[0].alias("bins"), "crossed").groupBy("block")
+    best = found.agg(F.min_by("bins", F.struct(F.array_max("bins"), F.col("island"))).alias("bins"), F.sum("crossed").alias("crossed"))
     return items.join(best, "block")
 
 

@@ -59,7 +59,8 @@ def test_evolution():
     rng = random.Random(4)
     sizes = [rng.randint(20, 60) for _ in range(90)]
     first = P.build(sizes, 100, list(range(90)))
-    pool = P.evolve(sizes, 100, [P.to_labels(first)], population=6, generations=40)
+    pool, crossed = P.evolve(sizes, 100, [P.to_labels(first)], population=6, generations=40)
+    assert crossed >= 6
     best = pool[0]
     assert sorted(i for b in best.items for i in b) == list(range(90)) and all(sum(sizes[i] for i in b) <= 100 for b in best.items)
     assert len(best.items) <= len(first.items)
@@ -67,6 +68,42 @@ def test_evolution():
     assert sorted(i for b in child.items for i in b) == list(range(90))
 
 
+def test_evolution_beats_best_fit():
+    """Bins of three made to be full: falling best fit misses the bound, evolution gains on it."""
+    rng = random.Random(9)
+    gained, missed = 0, 0
+    for k in range(8):
+        sizes = []
+        for _ in range(20):
+            a, b = rng.randint(300, 420), rng.randint(300, 340)
+            sizes += [a, b, 1000 - a - b]
+        rng.shuffle(sizes)
+        plain = len(P.build(sizes, 1000, sorted(range(60), key=sizes.__getitem__, reverse=True)).items)
+        best = len(P.evolve(sizes, 1000, [], population=12, generations=400, seed=k)[0][0].items)
+        assert 20 <= best <= plain
+        missed += plain > 20
+        gained += best < plain
+    assert missed and gained
+
+
+def test_every_block_is_evolved(spark):
+    rng = random.Random(3)
+    rows = [(b, [(rng.randint(20, 900),) for _ in range(200)]) for b in range(3)]
+    items = spark.createDataFrame(rows, "block long, rows array<struct<length long>>")
+    for r in P.solve(items, 1000, 2, 2).collect():
+        lengths, fill = [x["length"] for x in r["rows"]], {}
+        for size, k in zip(lengths, r["bins"], strict=True):
+            fill[k] = fill.get(k, 0) + size
+        assert max(fill.values()) <= 1000 and r["crossed"] >= 2 * 2 * 2 * 3
+
+
+def test_ties_are_all_packed(spark):
+    df = spark.createDataFrame([(i, "same words here " * 300) for i in range(50)], "doc_id long, text string")
+    used, bound = check(P.pack(df, Q.tokenizer_file()), {r["doc_id"]: r["text"] for r in df.collect()})
+    length = P.pieces(df, Q.tokenizer_file()).head()["length"]
+    assert used == -(-50 // (4096 // length)) >= bound
+
+
 def test_blocks_and_odd(spark, odd):
     d = spark.createDataFrame([(i, "one two three " * (1 + i * 37 % 300)) for i in range(400)], "doc_id long, text string")
     used, bound = check(P.pack(d, Q.tokenizer_file(), block_items=64, merge=4), {r["doc_id"]: r["text"] for r in d.collect()})

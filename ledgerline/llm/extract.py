@@ -8,6 +8,12 @@ by L2-regularised maximum likelihood on labelled pages made by a seeded
 generator, and decoded by Viterbi.  Text is joined from the main blocks.
 
 Scripts, styles, comments, other markup and the head never become blocks.
+End tags may be left out as in HTML: a block or text ends the head, a block
+ends a paragraph, a list item its like, and block tags end graphics and
+selections.  Other elements of the hidden kinds that nothing closes hide
+nothing.
+Parsing takes time in proportion to the page's length at any depth of nesting.
+
 Defined results: a null, empty or textless page gives an empty text; a tag cut
 off at the end of a page is dropped; an unclosed comment, script or style runs
 to the end; ties go to main text; repeated rows get equal results.
@@ -30,8 +36,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video select datalist".split())
 RAW = frozenset("script style textarea title xmp iframe noscript".split())
-CLOSED_BY_BLOCK = frozenset("p".split())
-SAME_CLOSES = frozenset("li dt dd tr td th option".split())
+#: What the start tag of an element closes if it is open in the same container.
+LIKES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+OPTIONAL = frozenset(LIKES) | {"p"}
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements that a block's start tag ends, unless it is one of their own parts.
+BROKEN_OUT_OF = frozenset("svg math select datalist".split())
+IN_GRAPHICS = frozenset("g path rect circle ellipse line polyline polygon text tspan defs use symbol desc foreignobject lineargradient radialgradient stop clippath mask pattern marker filter image switch animate set view metadata title mrow mi mo mn ms mtext msup msub mfrac msqrt mroot mtable mtr mtd mover munder semantics annotation annotation-xml option optgroup hr script style template".split())
 
 # Quotes count only behind "="; possessive loops keep a tag that never ends from being tried over and over.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -39,14 +50,64 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 WORD = re.compile(r"[a-z]+")
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, path of (tag, names) from the outermost element in, share of the text in links) of each leaf block."""
-    out: list[tuple[str, tuple, float]] = []
-    stack: list[tuple[str, str]] = []
+class Place:
+    """An open element below others, and the features of all of them; ``kids`` are shared by pages."""
+
+    __slots__ = ("above", "tag", "found", "kids", "ids")
+
+    def __init__(self, above: Place | None, tag: str, found: frozenset):
+        self.above, self.tag, self.found, self.kids, self.ids = above, tag, found, {}, None
+
+
+class Places:
+    """The tree of places; ``index`` bounds the features kept to those a model knows, ``most`` the places shared."""
+
+    def __init__(self, index: dict[str, int] | None = None, most: int = 50_000):
+        self.index, self.left = index, most
+        self.root = Place(None, "none", frozenset())
+
+    def below(self, above: Place, tag: str, names: str) -> Place:
+        """The place of an element with words ``names`` in ``above``."""
+        kid = above.kids.get((tag, names))
+        if kid is None:
+            new = {"in:" + tag, *("name:" + w for w in WORD.findall(names))}
+            if self.index is not None:
+                new = {f for f in new if f in self.index}
+            kid = Place(above, tag, above.found if new <= above.found else above.found | new)
+            if self.left > 0 and len(names) <= 200:
+                self.left -= 1
+                above.kids[tag, names] = kid
+        return kid
+
+    @staticmethod
+    def features(at: Place) -> list[str]:
+        """Features of a place."""
+        pair = [f"pair:{at.above.tag}>{at.tag}"] if at.above is not None and at.above.above is not None else []
+        return [*sorted(at.found), "own:" + at.tag, *pair]
+
+
+def leaf_blocks(page: str, places: Places) -> list[tuple[str, Place, float]]:
+    """(text, place, share of the text in links) of each leaf block."""
+    out: list[tuple[str, Place, float]] = []
+    names_of: list[str] = []  # open elements from the outermost in, their places, and where each name stands
+    place_of: list[Place] = [places.root]
+    open_at: dict[str, list[int]] = {}
+    barriers: list[int] = []  # open elements that end tags left out don't reach beyond
+    closes: dict[str, int] = {}
+    lowered = ""
     text: list[str] = []
-    where: tuple = ()
-    linked = total = hidden = links = 0
-    at = 0
+    where = places.root
+    linked = total = hidden = 0
+    at, end = 0, len(page)
+
+    def last_close(name: str) -> int:
+        """Where the page last closes an element of a name; -1 if nowhere."""
+        nonlocal lowered
+        found = closes.get(name)
+        if found is None:
+            lowered = lowered or page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            found = closes[name] = lowered.rfind("</" + name)
+        return found
 
     def flush() -> None:
         nonlocal linked, total
@@ -58,23 +119,38 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
         linked = total = 0
 
     def pop(depth: int) -> None:
-        nonlocal hidden, links
-        while len(stack) > depth:
-            gone = stack.pop()[0]
+        nonlocal hidden
+        while len(names_of) > depth:
+            gone = names_of.pop()
+            place_of.pop()
+            open_at[gone].pop()
             hidden -= gone in HIDDEN
-            links -= gone == "a"
+            if barriers and barriers[-1] == len(names_of):
+                barriers.pop()
+
+    def push(name: str, names: str) -> None:
+        nonlocal hidden
+        open_at.setdefault(name, []).append(len(names_of))
+        if name not in INLINE and name not in OPTIONAL:
+            barriers.append(len(names_of))
+        names_of.append(name)
+        place_of.append(place_of[-1] if name in INLINE else places.below(place_of[-1], name, names))
+        hidden += name in HIDDEN
 
     def say(part: str) -> None:
         nonlocal where, linked, total
-        if part and not hidden:
+        if not part:
+            return
+        if hidden and names_of[-1] == "head" and not part.isspace():
+            pop(len(names_of) - 1)
+        if not hidden:
             if not text:
-                where = tuple(x for x in stack if x[0] not in INLINE)
+                where = place_of[-1]
             text.append(part)
             size = len(part)
             total += size
-            linked += size if links > 0 else 0
+            linked += size if open_at.get("a") else 0
 
-    end = len(page)
     for m in iter(lambda: TAG.search(page, at), None):
         say(page[at : m.start()])
         at = m.end()
@@ -87,21 +163,26 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
         elif name == "br" and text:
             text.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            if open_at.get(name):
+                pop(open_at[name][-1])
             continue
+        if hidden and names_of[-1] == "head" and name not in IN_HEAD:
+            pop(len(names_of) - 1)
         if name not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                own = stack[k][0]
-                if own == name and name in SAME_CLOSES or own in CLOSED_BY_BLOCK:
+            if hidden and name not in IN_GRAPHICS:
+                # The outermost of graphics and selections that holds this tag and has no container of blocks open inside.
+                first = min((open_at[n][0] for n in BROKEN_OUT_OF if open_at.get(n)), default=None)
+                if first is not None and not any(open_at[n][-1] > first for n in ("foreignobject", "annotation-xml") if open_at.get(n)):
+                    pop(first)
+            for own in (("p",), LIKES.get(name, ())):
+                edge = barriers[-1] if barriers else -1
+                k = max((open_at[n][-1] for n in own if open_at.get(n)), default=-1)
+                if k > edge:
                     pop(k)
-                    break
-                if own not in INLINE and own not in CLOSED_BY_BLOCK and own not in SAME_CLOSES:
-                    break
         if name in VOID or rest.endswith("/"):
             continue
+        if (name in HIDDEN - BROKEN_OUT_OF and name not in ("head", "script", "style") or name in ("title", "textarea")) and last_close(name) < at:
+            continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name not in HIDDEN and name != "title":
@@ -109,27 +190,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
                 flush()
             at = stop.end() if stop else end
             continue
-        names = " ".join(x for found in NAMES.findall(rest) for x in found if x).lower() if rest else ""
-        stack.append((name, names))
-        hidden += name in HIDDEN
-        links += name == "a"
+        push(name, " ".join(x for found in NAMES.findall(rest) for x in found if x).lower() if rest else "")
     say(page[at:])
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
-    """Features of the elements above a block."""
-    out = {"own:" + (path[-1][0] if path else "none")}
-    for tag, names in path:
-        out.add("in:" + tag)
-        for w in WORD.findall(names):
-            out.add("name:" + w)
-    if len(path) > 1:
-        out.add(f"pair:{path[-2][0]}>{path[-1][0]}")
-    return sorted(out)
-
-
 def text_features(text: str, linked: float, place: int, count: int) -> list[str]:
     """Features of a block's text."""
     words = text.count(" ") + 1
@@ -146,18 +212,20 @@ class ChainCRF:
         self.index: dict[str, int] = {}
         self.w = np.zeros((0, 2))
         self.step = np.zeros((2, 2))
-        self.paths: dict[tuple, list[int]] = {}
+        self.places = Places()
 
-    def ids(self, blocks: list[tuple[str, tuple, float]], grow: bool = False) -> list[list[int]]:
+    def blocks(self, page: str) -> list[tuple[str, Place, float]]:
+        """Leaf blocks of a page."""
+        return leaf_blocks(page, self.places)
+
+    def ids(self, blocks: list[tuple[str, Place, float]], grow: bool = False) -> list[list[int]]:
         """Feature numbers of each block of a page."""
         out = []
-        for k, (text, path, linked) in enumerate(blocks):
-            own = None if grow else self.paths.get(path)
+        for k, (text, place, linked) in enumerate(blocks):
+            own = place.ids
             if own is None:
-                names = path_features(path)
-                own = [self.index.setdefault(f, len(self.index)) for f in names] if grow else [self.index[f] for f in names if f in self.index]
-                if not grow and len(self.paths) < 50_000:
-                    self.paths[path] = own
+                names = Places.features(place)
+                own = place.ids = [self.index.setdefault(f, len(self.index)) for f in names] if grow else [self.index[f] for f in names if f in self.index]
             names = text_features(text, linked, k, len(blocks))
             out.append(own + ([self.index.setdefault(f, len(self.index)) for f in names] if grow else [self.index[f] for f in names if f in self.index]))
         return out
@@ -198,8 +266,9 @@ class ChainCRF:
                 self.step += rate * gs / np.sqrt(size_s)
         # Decoding needs one number per feature and three per step: all that matters is label 1 against label 0.
         self.margin = (self.w[:, 1] - self.w[:, 0]).tolist()
+        self.places = Places(self.index)
 
-    def decode(self, blocks: list[tuple[str, tuple, float]]) -> list[int]:
+    def decode(self, blocks: list[tuple[str, Place, float]]) -> list[int]:
         """Most probable labels of a page's blocks by Viterbi."""
         if not blocks:
             return []
@@ -310,26 +379,27 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:
     return out
 
 
-def labels(page: str, main: list[str]) -> tuple[list, list[int]]:
-    """Blocks of a labelled page and whether each is main text; main blocks come in page order."""
-    blocks, at, out = leaf_blocks(page), 0, []
+def labels(blocks: list, main: list[str]) -> list[int]:
+    """Whether each block of a labelled page is main text; main blocks come in page order."""
+    at, out = 0, []
     for text, _, _ in blocks:
         hit = at < len(main) and text == main[at]
         at += hit
         out.append(int(hit))
-    return blocks, out
+    return out
 
 
 def fit(pages: int = 500, seed: int = 17) -> ChainCRF:
     """A field trained on ``pages`` labelled pages."""
     model = ChainCRF()
-    model.train([x for x in (labels(*p) for p in labelled_pages(pages, seed)) if x[0]])
+    made = [(model.blocks(page), main) for page, main in labelled_pages(pages, seed)]
+    model.train([(blocks, labels(blocks, main)) for blocks, main in made if blocks])
     return model
 
 
 def main_text(model: ChainCRF, page: str | None) -> str:
     """Main text of one page, its blocks joined by line ends."""
-    blocks = leaf_blocks(page or "")
+    blocks = model.blocks(page or "")
     return "\n".join(b[0] for b, y in zip(blocks, model.decode(blocks), strict=True) if y)
 
 

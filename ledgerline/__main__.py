@@ -19,7 +19,7 @@ def main(args: list[str] | None = None) -> None:
     g = commands.add_parser("gen-changesets")
     g.add_argument("out")
     g.add_argument("--versions", type=int, default=100)
-    g.add_argument("--profile", choices=["mixed", "banks"], default="mixed")
+    g.add_argument("--profile", choices=["mixed", "osmo"], default="mixed")
     g.add_argument("--scale", type=float, default=1.0)
     g.add_argument("--seed", type=int, default=0)
     b = commands.add_parser("bench")
@@ -41,8 +41,7 @@ def main(args: list[str] | None = None) -> None:
     spark = session()
     if given.command == "gen-changesets":
         stores = generator.profile(given.profile, given.versions, given.scale)
-        changesets.write_changes(generator.generate(spark, stores, given.seed), given.out)
-        changesets.write_manifest(given.out, max(p.versions for p in stores), generator.params_rows(stores))
+        changesets.write_changes(generator.generate(spark, stores, given.seed), given.out, generator.params_rows(stores))
     elif given.command == "bench":
         target = given.target_version or changesets.read_manifest(spark, given.changeset_dir).head()["versions"]
         backend = TableBackend(spark, given.db_dir, strict_options(TableOptions, json.loads(given.db_options)))

@@ -104,6 +104,11 @@ def filename_version(name: Column | str) -> Column:
     return F.regexp_extract(_col(name), r"(?:^|/)(\d{9,})\.delimpb$", 1).try_cast("bigint")
 
 
+def json_field(text: Column | str, *path: str) -> Column:
+    """Text of a field of a JSON text, by its path; null where any part of it is missing."""
+    return F.get_json_object(_col(text), "$" + "".join(f"['{p}']" for p in path))
+
+
 def run_name(path: Column | str) -> Column:
     """Run name of a log file: its base name without ``.jsonl``."""
     return F.regexp_replace(F.regexp_extract(_col(path), r"([^/]*)$", 1), r"\.jsonl$", "")

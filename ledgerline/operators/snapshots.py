@@ -22,13 +22,19 @@ def phases(
 
     A later event belongs to the last one opened before it in ``order``; a
     repeated event replaces the one before.  ``strict`` raises on an event
-    before any start; else it is left out.
+    before any start, which else is left out, and on one whose phase before
+    hasn't ended, which else has no duration.
     """
     known = events.filter(F.col(msg).isin(start, rewritten, caught_up, switched))
     opened = F.sum((F.col(msg) == start).cast("int")).over(Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     numbered = known.withColumn("_s", opened)
     if strict:
         numbered = numbered.withColumn("_s", F.when(F.col("_s") == 0, F.raise_error("a snapshot event before any start")).otherwise(F.col("_s")))
+        early = F.lit(False)
+        for text, needed in ((caught_up, rewritten), (switched, caught_up)):
+            so_far = F.max(F.col(msg) == needed).over(Window.partitionBy(run, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+            early = early | ((F.col(msg) == text) & ~so_far)
+        numbered = numbered.withColumn("_early", early).withColumn("_s", F.when(F.col("_early"), F.raise_error("a snapshot event before the one that it follows")).otherwise(F.col("_s"))).drop("_early")
     key = F.struct(*order)
     last = lambda value, text: F.max_by(F.col(value), F.when(F.col(msg) == text, key))
     found = numbered.filter("_s > 0").groupBy(run, "_s").agg(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous, running_sum
+
 KEYS = ("store_key", "key")
 ORDER = ("version", "seq")
 
@@ -46,8 +48,7 @@ def live_size(classified: DataFrame, by: Sequence[str] = (), version: str = "ver
     """Number of live keys after each version: sums per version first, then one running sum over the versions."""
     step = F.when(F.col("op") == "create", 1).when(F.col("op") == "delete", -1).otherwise(0)
     steps = classified.groupBy(*by, version).agg(F.sum(step).alias("_s"))
-    w = Window.partitionBy(*by).orderBy(version).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(*by, version, F.sum("_s").over(w).cast("bigint").alias("live_size"))
+    return running_sum(steps, by, version, "_s", "_live").select(*by, version, F.col("_live").cast("bigint").alias("live_size"))
 
 
 def ops_per_version(changes: DataFrame, version: str = "version") -> DataFrame:
@@ -55,10 +56,15 @@ def ops_per_version(changes: DataFrame, version: str = "version") -> DataFrame:
     return changes.groupBy(version).agg(F.count(F.lit(1)).alias("ops"))
 
 
+def progress_marks(changes: DataFrame, every: int = 10_000, version: str = "version") -> DataFrame:
+    """version and count, for every ``every``-th change of a version: the marks that a long version leaves in a log."""
+    ops = ops_per_version(changes, version).filter(F.col("ops") >= every)
+    return ops.select(version, F.explode(F.sequence(F.lit(every).cast("bigint"), F.col("ops"), F.lit(every).cast("bigint"))).alias("count"))
+
+
 def version_gaps(changes: DataFrame, version: str = "version", by: Sequence[str] = ()) -> DataFrame:
     """Versions that don't follow the one before: version and the one expected."""
-    w = Window.partitionBy(*by).orderBy(version)
-    seen = changes.select(*by, version).distinct().withColumn("_b", F.lag(version).over(w))
+    seen = previous(changes.select(*by, version).distinct(), by, version, "_b")
     return seen.filter(F.col("_b").isNotNull() & (F.col(version) != F.col("_b") + 1)).select(*by, version, (F.col("_b") + 1).alias("expected"))
 
 

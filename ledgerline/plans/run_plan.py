@@ -5,15 +5,16 @@ from __future__ import annotations
 import dataclasses
 import json
 import logging
-import os
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.state import last_changes, merge_state
+from ..operators.state import last_changes
+from ..sources import files
 from ..sources.changesets import load_version, read_changes, save_version
 
 log = logging.getLogger(__name__)
@@ -58,8 +59,7 @@ class Run:
 
 def read_plan(path: str) -> list[Run]:
     """Runs of a plan file."""
-    with open(path) as f:
-        plan = json.loads(strip_comments(f.read()))
+    plan = json.loads(strip_comments(files.read_text(path)))
     return [Run(r["name"], r["runner"], r.get("options") or {}) for r in plan["runs"]]
 
 
@@ -72,7 +72,9 @@ def strict_options(kind: type | None, given: dict) -> Any:
 
 
 class StateBackend(Protocol):
-    """A store that changes are replayed into, version by version."""
+    """A store that changes are replayed into, version by version; ``applied`` is the number of changes of the last commit."""
+
+    applied: int
 
     def version(self) -> int: ...
 
@@ -85,45 +87,79 @@ class StateBackend(Protocol):
 
 @dataclass
 class TableOptions:
-    """Options of the table backend."""
+    """Options of the table backend: commits between two whole states (0: the default of 16)."""
 
-    checkpoint_interval: int = 1
+    checkpoint_interval: int = 0
 
 
 class TableBackend:
-    """State as Parquet, one folder per commit; deletes are kept, so late changes merge rightly."""
+    """State as Parquet: a whole state at every ``checkpoint_interval``-th commit and the last changes of each commit since.
+
+    A commit writes its own changes, read once, and then the marker; the
+    merged state is written only at the interval, after which the files that
+    it replaces are deleted.  So disk holds one state and an interval's
+    changes, and a commit cut off by a failure leaves the one before it.
+    Deletes are kept, so late changes merge rightly.
+    """
 
     options = TableOptions
 
     def __init__(self, spark: SparkSession, path: str, options: TableOptions | None = None):
-        self.spark, self.path, self.opts = spark, path, options or TableOptions()
-        os.makedirs(path, exist_ok=True)
-        self.at = load_version(path)
+        self.spark, self.path, self.opts = spark, path.rstrip("/"), options or TableOptions()
+        self.interval = self.opts.checkpoint_interval or 16
+        files.make_folder(self.path, spark)
+        self.at = load_version(self.path)
         self.waiting: DataFrame | None = None
+        self.applied = 0
 
     def version(self) -> int:
         """Last committed version."""
         return self.at
 
+    def _kept(self) -> tuple[str | None, list[str]]:
+        """(folder of the last whole state, folders of later changes) up to the committed version."""
+        found = {kind: sorted(int(n[1:]) for n in files.names(self.path, self.spark) if n[0] == kind and n[1:].isdigit() and int(n[1:]) <= self.at) for kind in "sc"}
+        base = max(found["s"], default=0)
+        return f"{self.path}/s{base}" if base else None, [f"{self.path}/c{v}" for v in found["c"] if v > base]
+
     def state(self) -> DataFrame | None:
         """Last change of every key at the committed version; None before the first commit."""
-        return self.spark.read.parquet(f"{self.path}/v{self.at}") if self.at else None
+        base, later = self._kept()
+        if base is None and not later:
+            return None
+        parts = [p for p in (base, *later) if p]
+        found = self.spark.read.parquet(*parts)
+        return last_changes(found) if len(parts) > 1 else found
 
     def apply(self, changes: DataFrame) -> None:
         """Take the changes of later versions; nothing is written before commit."""
         self.waiting = changes if self.waiting is None else self.waiting.unionByName(changes)
 
     def commit(self) -> int:
-        """Write the merged state and then the marker; the version is the largest applied."""
-        if self.waiting is not None:
-            top = self.waiting.agg({"version": "max"}).head()[0]
-            if top is not None:
-                now = self.state()
-                merged = last_changes(self.waiting) if now is None else merge_state(now, self.waiting)
-                merged.write.mode("overwrite").parquet(f"{self.path}/v{top}")
-                save_version(self.path, top)
-                self.at = top
-            self.waiting = None
+        """Write the changes and then the marker; the version is the largest applied."""
+        self.applied = 0
+        if self.waiting is None:
+            return self.at
+        seen = Observation()
+        watched = self.waiting.observe(seen, F.max("version").alias("top"), F.count(F.lit(1)).alias("n"))
+        new = f"{self.path}/new"
+        last_changes(watched).write.mode("overwrite").parquet(new)
+        top, self.applied = seen.get["top"], seen.get["n"]
+        self.waiting = None
+        if top is None:
+            files.delete(new, self.spark)
+            return self.at
+        files.delete(f"{self.path}/c{top}", self.spark)  # what a commit cut off before its marker left
+        files.move(new, f"{self.path}/c{top}", self.spark)
+        save_version(self.path, top)
+        self.at = top
+        base, later = self._kept()
+        if len(later) >= self.interval:
+            self.state().write.mode("overwrite").parquet(new)
+            files.move(new, f"{self.path}/s{top}", self.spark)
+            for old in (base, *later):
+                if old:
+                    files.delete(old, self.spark)
         return self.at
 
     def close(self) -> None:
@@ -133,19 +169,20 @@ class TableBackend:
 def replay(backend: StateBackend, changes: DataFrame, target: int, events: list | None = None, step: int = 1) -> int:
     """Apply the versions after the backend's own up to ``target``, ``step`` at a time, and commit each time.
 
-    A committed version other than the one expected raises.  Each commit adds
-    a log event with its version, duration (ns), count and rate.
+    Filters on the version reach the source, so a commit reads its own
+    versions' files, once.  A committed version other than the one expected
+    raises.  Each commit adds a log event with its version, duration (ns),
+    count and rate.
     """
     at = backend.version()
     while at < target:
         upto = min(target, at + step)
-        part = changes.filter(f"version > {at} and version <= {upto}")
-        began, count = time.perf_counter_ns(), part.count()
-        backend.apply(part)
+        began = time.perf_counter_ns()
+        backend.apply(changes.filter((F.col("version") > at) & (F.col("version") <= upto)))
         got = backend.commit()
         if got != upto:
             raise RuntimeError(f"expected version {upto}, the store is at {got}")
-        spent = time.perf_counter_ns() - began
+        spent, count = time.perf_counter_ns() - began, backend.applied
         if events is not None:
             events.append({"msg": "committed version", "version": upto, "duration": spent, "count": count, "ops_per_sec": count / (spent / 1e9)})
         at = upto
@@ -162,7 +199,7 @@ def run_all(spark: SparkSession, runs: list[Run], changeset_dir: str, target: in
             continue
         try:
             kind = make[run.runner]
-            backend = kind(spark, os.path.join(folder, run.name), strict_options(getattr(kind, "options", None), run.options))
+            backend = kind(spark, f"{folder}/{run.name}", strict_options(getattr(kind, "options", None), run.options))
             try:
                 replay(backend, read_changes(spark, changeset_dir, backend.version(), target), target)
             finally:

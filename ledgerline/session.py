@@ -27,6 +27,7 @@ def session(master: str = "local[*]", app: str = "ledgerline", shuffle_partition
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     if shuffle_partitions:

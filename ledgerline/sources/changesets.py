@@ -1,13 +1,17 @@
 """Changesets: one file of length-delimited entries per version, and their manifest.
 
-``register(spark)`` adds the format ``changeset``; its reader plans one
-partition per version file within the bounds given as options ``after`` and
-``target``, so other versions aren't opened, and streams each file.  Entry
-fields are numbered by the option ``fields`` (store, delete, key, value).
+``register(spark)`` adds the format ``changeset`` for folders that every
+machine mounts; its reader plans one partition per version file within the
+bounds given as options ``after`` and ``target`` and by pushed filters on the
+version, so other versions aren't opened, and streams each file.  Folders of
+other file systems are read by Spark itself, a whole file at a time (2 GB at
+most), again only those within the bounds.  Entry fields are numbered by the
+option ``fields`` (store, delete, key, value).
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -16,9 +20,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schemas import CHANGES, MANIFEST
+from . import files
 
 FIELDS = "1,2,3,4"
 MANIFEST_NAME = "changeset_info.json"
@@ -121,13 +126,31 @@ class _Reader(DataSourceReader):
         self.path = options["path"].removeprefix("file://")
         self.after, self.target = int(options.get("after", 0)), int(options.get("target", 0))
         self.fields = tuple(map(int, options.get("fields", FIELDS).split(",")))
+        self.only: set[int] | None = None
+
+    def pushFilters(self, filters):
+        """Bounds on the version choose the files; Spark applies every other filter."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("version",):
+                yield f
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.after = max(self.after, f.value - isinstance(f, GreaterThanOrEqual))
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                least = f.value - isinstance(f, LessThan)
+                self.only = set() if least < 1 else self.only
+                self.target = least if self.target <= 0 else min(self.target, least)
+            elif isinstance(f, EqualTo | In):
+                these = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = these if self.only is None else self.only & these
+            else:
+                yield f
 
     def partitions(self):
         found = []
         for name in os.listdir(self.path):
             if m := re.fullmatch(r"(\d{9,})\.delimpb", name):
                 v = int(m[1])
-                if v > self.after and (self.target <= 0 or v <= self.target):
+                if v > self.after and (self.target <= 0 or v <= self.target) and (self.only is None or v in self.only):
                     found.append(VersionFile(v, os.path.join(self.path, name)))
         return sorted(found, key=lambda p: p.version) or [VersionFile(0, "")]
 
@@ -149,6 +172,7 @@ class _Writer(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"].removeprefix("file://")
         self.fields = tuple(map(int, options.get("fields", FIELDS).split(",")))
+        self.stores = json.loads(options.get("stores", "null"))
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -169,9 +193,10 @@ class _Writer(DataSourceWriter):
         return _Wrote(files)
 
     def commit(self, messages):
-        for m in messages:
-            for a, b in m.files if m else []:
-                os.replace(a, b)
+        for a, b in sorted((pair for m in messages if m for pair in m.files), key=lambda pair: pair[1]):
+            os.replace(a, b)
+            if self.stores is not None:  # after each version, so that what is there can be read at any time
+                write_manifest(self.path, int(os.path.basename(b).split(".")[0]), self.stores)
 
     def abort(self, messages):
         for m in messages:
@@ -198,23 +223,63 @@ class ChangesetSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session."""
+    """Make the format known to a session, with filters pushed to it."""
     spark.dataSource.register(ChangesetSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def is_mounted(path: str) -> bool:
+    """Whether a path has no scheme other than that of local or mounted folders."""
+    return path.startswith("file:") or "://" not in path
+
+
+def read_remote(spark: SparkSession, path: str, after: int = 0, target: int = 0, fields: str = FIELDS) -> DataFrame:
+    """As ``read_changes``, by Spark's own readers, from any file system."""
+    known = [(int(m[1]), n) for n in files.names(path, spark) if (m := re.fullmatch(r"(\d{9,})\.delimpb", n))]
+    chosen = [f"{path}/{n}" for v, n in sorted(known) if v > after and (target <= 0 or v <= target)]
+    if not chosen:
+        return spark.createDataFrame([], CHANGES)
+    numbers = tuple(map(int, fields.split(",")))
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for where, content in zip(batch.column(0), batch.column(1), strict=True):
+                version = int(os.path.basename(where.as_py()).split(".")[0])
+                rows, seq = [], 0
+                for entry in decode(io.BytesIO(content.as_py()).read, numbers):
+                    rows.append((version, seq, *entry))
+                    seq += 1
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds(pa), strict=True)], names=CHANGES.names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds(pa), strict=True)], names=CHANGES.names)
+
+    def kinds(pa):
+        return pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_()
+
+    return spark.read.format("binaryFile").load(chosen).select("path", "content").mapInArrow(each, CHANGES)
 
 
 def read_changes(spark: SparkSession, path: str, after: int = 0, target: int = 0) -> DataFrame:
     """Changes of the versions over ``after`` up to ``target`` (to the end, if not positive)."""
+    if not is_mounted(path):
+        return read_remote(spark, path, after, target)
     register(spark)
     return spark.read.format("changeset").option("after", after).option("target", target).load(path)
 
 
-def write_changes(changes: DataFrame, path: str) -> None:
-    """One file per version into a folder that must not exist yet."""
+def write_changes(changes: DataFrame, path: str, stores: list[dict] | None = None) -> None:
+    """One file per version into a mounted folder that must not exist yet; with ``stores`` also the manifest, anew for each version."""
+    if not is_mounted(path):
+        raise ValueError(f"{path} isn't a mounted folder; use write_parquet")
     if os.path.exists(path.removeprefix("file://")):
         raise FileExistsError(path)
     register(changes.sparkSession)
     dealt = changes.select(CHANGES.names).repartition("version").sortWithinPartitions("version", "seq")
-    dealt.write.format("changeset").mode("append").save(path)
+    dealt.write.format("changeset").option("stores", json.dumps(stores)).mode("append").save(path)
 
 
 def write_parquet(changes: DataFrame, path: str) -> None:
@@ -233,23 +298,21 @@ def manifest_stores(manifest: DataFrame) -> DataFrame:
 
 
 def write_manifest(path: str, versions: int, stores: list[dict]) -> None:
-    """Write the manifest anew; callers do so after each version, so a partial run stays readable."""
-    with open(os.path.join(path, MANIFEST_NAME), "w") as f:
+    """Write the manifest of a mounted folder anew."""
+    whole = os.path.join(path.removeprefix("file://"), MANIFEST_NAME)
+    with open(f"{whole}.new", "w") as f:
         json.dump({"versions": versions, "store_names": [s["store_key"] for s in stores], "store_params": stores}, f)
+    os.replace(f"{whole}.new", whole)
 
 
 def load_version(path: str) -> int:
     """Version in a folder's marker; 0 if there is none."""
     try:
-        with open(os.path.join(path, MARKER_NAME)) as f:
-            return int(json.load(f)["version"])
+        return int(json.loads(files.read_text(f"{path}/{MARKER_NAME}"))["version"])
     except FileNotFoundError:
         return 0
 
 
 def save_version(path: str, version: int) -> None:
     """Replace a folder's marker in one step."""
-    whole = os.path.join(path, MARKER_NAME)
-    with open(f"{whole}.new", "w") as f:
-        json.dump({"version": version}, f)
-    os.replace(f"{whole}.new", whole)
+    files.write_text(f"{path}/{MARKER_NAME}", json.dumps({"version": version}))

@@ -43,10 +43,10 @@ LIVE_CHAIN_SIZE, LIVE_CHAIN_VERSIONS = 20_000_000, 1_000_000
 
 
 def profile(name: str, versions: int, scale: float = 1.0) -> list[StoreParams]:
-    """Stores of a profile: ``mixed`` (three stores) or ``banks`` (two large bank stores)."""
+    """Stores of a profile: ``mixed`` (three stores) or ``osmo`` (two large bank stores); the names are fixed values."""
     if name == "mixed":
         return [replace(p, versions=versions, final_size=int(p.final_size * scale)) for p in (BANK, STAKING, LOCKUP)]
-    if name == "banks":
+    if name == "osmo":
         first = int(LIVE_CHAIN_SIZE * scale)
         return [replace(BANK, store_key=k, initial_size=first, final_size=int(1.5 * first), versions=LIVE_CHAIN_VERSIONS) for k in ("bank", "bank2")]
     raise ValueError(f"unknown profile {name!r}")

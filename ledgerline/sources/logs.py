@@ -63,6 +63,7 @@ class RunLogs:
 
     events: DataFrame
     strict: bool = True
+    duration_type: str = "bigint"
 
     def _to(self, c: Column, kind: str) -> Column:
         return c.cast(kind) if self.strict else c.try_cast(kind)
@@ -88,7 +89,7 @@ class RunLogs:
         """Commits: version, ts_raw, ts, duration (ns), count, ops_per_sec."""
         c = self._of("commit")
         return c.select(
-            "run", "line", self._to(F.col("version"), "bigint").alias("version"), F.col("time").alias("ts_raw"), parse_iso("time", self.strict).alias("ts"), self._to(F.col("duration"), "bigint").alias("duration"),
+            "run", "line", self._to(F.col("version"), "bigint").alias("version"), F.col("time").alias("ts_raw"), parse_iso("time", self.strict).alias("ts"), self._to(F.col("duration"), self.duration_type).alias("duration"),
             self._to(F.col("count"), "bigint").alias("count"), self._to(F.col("ops_per_sec"), "double").alias("ops_per_sec"),
         )
 

@@ -1,6 +1,7 @@
 """Files, manifests, the generator, plans and streams."""
 
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -175,3 +176,36 @@ def test_directory_size_and_asof(spark, tmp_path):
     samples = spark.createDataFrame([("r", 5, "m"), ("r", 15, "n"), ("q", 1, "o")], "run string, ts int, s string")
     commits = spark.createDataFrame([("r", 5, 1), ("r", 10, 2)], "run string, ts int, version long")
     assert rows(M.sample_asof(samples, commits, "run", "ts", "version").select("s", "asof_version")) == [("m", 1), ("n", 2), ("o", None)]
+
+
+def test_filters_choose_files(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    made = spark.createDataFrame([(v, i, "s", b"k%d" % i, b"v", False) for v in range(1, 9) for i in range(3)], "version long, seq long, store_key string, key binary, value binary, is_delete boolean")
+    C.write_changes(made, folder, G.params_rows([G.BANK]))
+    assert C.read_manifest(spark, folder).head()["versions"] == 8
+    whole = C.read_changes(spark, folder)
+    for condition, versions in (("version = 3", [3]), ("version in (2, 5) and seq = 1", [2, 5]), ("version > 2 and version <= 4", [3, 4]), ("version >= 7", [7, 8]), ("version < 1", []), ("version = 3 and version = 4", [])):
+        part = whole.filter(condition)
+        assert sorted({r["version"] for r in part.collect()}) == versions
+        assert part.rdd.getNumPartitions() <= max(1, len(versions)), condition
+    assert rows(C.read_remote(spark, f"file://{folder}", 2, 4).selectExpr("version", "seq", "hex(key)")) == rows(whole.filter("version > 2 and version <= 4").selectExpr("version", "seq", "hex(key)"))
+    assert C.read_remote(spark, f"file://{folder}", 8).count() == 0
+    with pytest.raises(ValueError, match="mounted"):
+        C.write_changes(made, "hdfs://x/y")
+
+
+def test_checkpoint_interval(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    made = spark.createDataFrame([(v, i, "s", b"k%d" % (i * v % 5), None if i == 2 else b"v%d" % v, i == 2) for v in range(1, 8) for i in range(4)], "version long, seq long, store_key string, key binary, value binary, is_delete boolean")
+    C.write_changes(made, folder)
+    kept = {}
+    for interval in (1, 3, 0):
+        backend = P.TableBackend(spark, str(tmp_path / f"db{interval}"), P.TableOptions(interval))
+        events = []
+        P.replay(backend, C.read_changes(spark, folder), 4, events)
+        backend = P.TableBackend(spark, str(tmp_path / f"db{interval}"), P.TableOptions(interval))
+        P.replay(backend, C.read_changes(spark, folder), 7, events)
+        assert [e["count"] for e in events] == [4] * 7 and backend.version() == 7
+        kept[interval] = sorted(n for n in os.listdir(tmp_path / f"db{interval}") if n[0] in "sc")
+        assert rows(backend.state().selectExpr("hex(key)", "hex(value)", "is_delete", "version")) == rows(St.last_changes(made).selectExpr("hex(key)", "hex(value)", "is_delete", "version"))
+    assert kept == {1: ["s7"], 3: ["c7", "s6"], 0: [f"c{v}" for v in range(1, 8)]}

@@ -5,7 +5,8 @@ with counts.  A byte costs its exact code length under frozen counts: at each
 order it is coded, or escaped with probability d/(n+d) (escape method C) to
 the next shorter context, where the symbols already refused are excluded.  As
 the counts are frozen, the code length depends only on (context, byte), so it
-is tabulated once and a text costs one table look-up per byte and language.
+is tabulated once, for the contexts that a language has seen, and a text costs
+one table look-up per byte and language.
 
 Learning uses a bounded sample: per language the ``sample_docs`` labelled rows
 with the smallest hash, of rows of at most ``sample_bytes`` bytes.  Scoring
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from .textkit import LOWER, chunks
 
 ORDER = 3
+DENSE = 1 << 22  # contexts up to which a table gives each one's node; beyond, nodes are searched, with the same results
 
 
 def learn_rows(docs: DataFrame, sample_docs: int, sample_bytes: int) -> list[tuple[str, str]]:
@@ -53,7 +55,7 @@ def learn_rows(docs: DataFrame, sample_docs: int, sample_bytes: int) -> list[tup
 class PPM:
     """Code-length tables of all languages over shared context nodes."""
 
-    def __init__(self, rows: list[tuple[str, str]], table_mb: int = 48):
+    def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
         seen = np.zeros(256, bool)
         coded = {lang: [] for lang in self.langs}
@@ -72,33 +74,40 @@ class PPM:
                 s = np.concatenate([np.zeros(ORDER, np.int64), self.lut[data].astype(np.int64)])
                 keys.append(((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:])
             grams[lang] = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        budget = max(1, table_mb * (1 << 20) // (a * max(1, len(self.langs)) * 4))
-        contexts, counts = np.unique(np.concatenate([g // a for g, _ in grams.values()]), return_inverse=True)
-        totals = np.bincount(counts, np.concatenate([c for _, c in grams.values()]))
-        budget = max(0, budget - a * a - a - 1)
-        if len(contexts) > budget:
-            contexts = np.sort(contexts[np.argsort(-totals, kind="stable")[:budget]])
-        # Nodes: order 3 contexts, then all of order 2, 1 and 0.
-        n3 = len(contexts)
-        two = np.arange(a * a)
-        self.node = np.empty(a**3, np.int32)
-        self.node[:] = n3 + (np.arange(a**3) % (a * a))
-        self.node[contexts] = np.arange(n3)
-        table = np.empty((n3 + a * a, a, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
+        # Nodes: contexts of order 3 and 2 that any language has seen, and all of order 1.
+        self.three = np.unique(np.concatenate([g // a for g, _ in grams.values()]))
+        self.two = np.unique(self.three % (a * a))
+        n3, n2 = len(self.three), len(self.two)
+        self.node = None
+        if a**3 <= DENSE:
+            self.node = self._find(np.arange(a**3))
+        self.tables, self.rows = [], []
+        for lang in self.langs:
             g, c = grams[lang]
             ctx, sym = g // a, g % a
-            dense2 = np.bincount((ctx % (a * a)) * a + sym, c, a**3).reshape(a * a, a)
-            dense1 = np.bincount((ctx % a) * a + sym, c, a * a).reshape(a, a)
-            dense0 = np.bincount(sym, c, a)
-            at = np.searchsorted(contexts, ctx)
-            at[at == n3] = 0
-            own = contexts[at] == ctx if n3 else np.zeros(len(ctx), bool)
-            dense3 = np.zeros((n3, a))
-            np.add.at(dense3, (at[own], sym[own]), c[own])
-            for first, orders in ((0, [dense3, dense2[contexts % (a * a)], dense1[contexts % a]]), (n3, [dense2, dense1[two % a]])):
-                table[first : first + len(orders[0]), :, k] = self._lengths(orders, dense0)
-        self.table = table.reshape(-1, len(self.langs))
+            three, at3 = np.unique(ctx, return_inverse=True)
+            two, at2 = np.unique(ctx % (a * a), return_inverse=True)
+            dense = lambda at, n, c=c, sym=sym: np.bincount(at * a + sym, c, n * a).reshape(n, a)
+            count3, count2, count1, count0 = dense(at3, len(three)), dense(at2, len(two)), dense(ctx % a, a), np.bincount(sym, c, a)
+            self.tables.append(np.concatenate([
+                self._lengths([count3, count2[np.searchsorted(two, three % (a * a))], count1[three % a]], count0), self._lengths([count2, count1[two % a]], count0), self._lengths([count1], count0),
+            ]).astype(np.float32))
+            # The table's row of each node: the longest part of the context that this language has seen.
+            one = len(three) + len(two)
+            own2 = np.where(np.isin(self.two, two), len(three) + np.searchsorted(two, self.two), one + self.two % a)
+            own3 = np.where(np.isin(self.three, three), np.searchsorted(three, self.three), own2[np.searchsorted(self.two, self.three % (a * a))])
+            self.rows.append(np.concatenate([own3, own2, one + np.arange(a)]).astype(np.int32))
+        self.nodes = n3 + n2 + a
+
+    def _find(self, ctx: np.ndarray) -> np.ndarray:
+        """Node of each context of three symbols."""
+        a, n3, n2 = self.a, len(self.three), len(self.two)
+        out = (n3 + n2 + ctx % a).astype(np.int32)
+        for known, own, first in ((self.two, ctx % (a * a), n3), (self.three, ctx, 0)):
+            if len(known):
+                near = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                out = np.where(known[near] == own, first + near, out).astype(np.int32)
+        return out
 
     @staticmethod
     def _lengths(orders: list[np.ndarray], order0: np.ndarray) -> np.ndarray:
@@ -129,10 +138,12 @@ class PPM:
                 edge = edge[(edge < len(s)) & (edge < at[1:])]
                 before[j - 1, edge] = 0
         a = self.a
-        node = self.node[(before[2] * a + before[1]) * a + before[0]]
-        cost = self.table[node.astype(np.int64) * a + s]
+        ctx = (before[2].astype(np.int64) * a + before[1]) * a + before[0]
+        node = self._find(ctx) if self.node is None else self.node[ctx]
         full = np.flatnonzero(np.diff(at))
-        out[full] = np.add.reduceat(cost, at[full], axis=0, dtype=np.float64)
+        for k, (table, rows) in enumerate(zip(self.tables, self.rows, strict=True)):
+            cost = table.ravel()[rows[node].astype(np.int64) * a + s]
+            out[full, k] = np.add.reduceat(cost, at[full], dtype=np.float64)
         return out
 
 
@@ -146,7 +157,7 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found
 
 
-def identify(docs: DataFrame, learn: DataFrame, text: str = "text", *, sample_docs: int = 300, sample_bytes: int = 16384, table_mb: int = 48) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame, text: str = "text", *, sample_docs: int = 300, sample_bytes: int = 16384) -> DataFrame:
     """``docs`` with columns lang_pred, score (posterior of the predicted language under equal priors) and bits_per_byte.
 
     ``learn`` has doc_id, text, lang and is only sampled.  Columns of ``docs``
@@ -158,7 +169,7 @@ def identify(docs: DataFrame, learn: DataFrame, text: str = "text", *, sample_do
     docs = docs.drop(*(n for n, _ in added))
     if not rows:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
-    model = spark.sparkContext.broadcast(PPM(rows, table_mb))  # bounded by table_mb
+    model = spark.sparkContext.broadcast(PPM(rows))  # its size follows the sample, which is bounded
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in added)])
     place = docs.columns.index(text)
 

@@ -53,6 +53,19 @@ def test_code_lengths():
             assert abs(got[r, k] - brute(rows, lang, t)) < 1e-3
 
 
+def test_many_scripts(monkeypatch):
+    """No context that was seen is dropped with many symbols, and searched nodes equal tabulated ones."""
+    rows = [(f"l{k}", "".join(chr(base + i * i % 90) for i in range(400)) + " the end") for k, base in enumerate((0x61, 0x430, 0x3B1, 0x5D0, 0x905, 0xE01, 0x4E00, 0xAC00))]
+    text = "the и γ ש ก 丁 가 end" + rows[6][1][:50]
+    data, at = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    got = L.PPM(rows).bits(data, at)
+    for k, (lang, _) in enumerate(rows):
+        assert abs(got[0, k] - brute(rows, lang, text)) < 0.01
+    monkeypatch.setattr(L, "DENSE", 0)
+    searched = L.PPM(rows)
+    assert searched.node is None and (searched.bits(data, at) == got).all()
+
+
 def test_held_out_accuracy(spark):
     found = Q.op10_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n, low, high = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1)), F.min("score"), F.max("score")).head()

@@ -22,7 +22,8 @@ verified links.
 
 Defined results: null and empty texts and texts without a word have a class of
 their own each; repeated rows share a class; a null doc_id takes part like
-any other id and sorts first; ties go to the least doc_id.
+any other id and sorts last, so it names a class, or is kept, only where no row
+of the class has an id; ties go to the least doc_id.
 """
 
 from __future__ import annotations
@@ -273,7 +274,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` (with doc_id and text) less all but one document of each class, the one of least doc_id; rows without a word stay."""
     placed = materialize(classes(docs.select("doc_id", "text"), threshold), "classes")
     worded = placed.filter("digest is not null")
-    first = worded.groupBy("class_key").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    first = worded.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
     counts = worded.groupBy("class_key", "doc_id", "th").agg(F.count(F.lit(1)).alias("_copies"))
     chosen = counts.join(first.select("class_key", F.col("f.doc_id").alias("fd"), F.col("f.th").alias("ft")), "class_key").filter(F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")))
     chosen = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), "_copies")

@@ -2,29 +2,20 @@
 
 A table written here cuts lineage: an executor lost later re-reads files and
 doesn't recompute the work behind them.  The folder is the cluster's
-``spark.checkpoint.dir``; a folder of our own is set only where that setting
-is empty, as it is in tests.
+``spark.checkpoint.dir``; a folder of our own is used only where that setting
+is empty and the session is local, as in tests.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_OWN: dict[str, str | None] = {}
-
+from ..sources.files import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a new local one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _OWN.setdefault("dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-        _OWN["dir"] = found
-    return found.rstrip("/")
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -76,6 +76,43 @@ def test_similarity_estimate():
     assert set(s[2].tolist()) == set(both[:3].tolist())
 
 
+def test_bands_of_the_verified_measure():
+    """Share of pairs of set similarity 0.8 that meet in a band, though the sketch weighs repeated shingles more."""
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(40):
+        both, a, b = (rng.integers(0, 2**63, n).astype(U) for n in (160, 20, 20))
+        times = np.exp(rng.exponential(1.0, 160)).astype(int).clip(1, 9)
+        h = np.concatenate([both, a, both, b])
+        s = N.probminhash(np.repeat([0, 1], 180), h, 1 + np.log(np.concatenate([times, np.ones(20), times, np.ones(20)])), 2)
+        met += any((s[0, k : k + 4] == s[1, k : k + 4]).all() for k in range(0, 64, 4))
+    assert met == 40
+
+
+def test_bridges_of_large_groups(spark):
+    """Two groups of twelve joined only by a chain of two middle texts: as many classes as by all pairs, in every case."""
+    rng = random.Random(11)
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    docs = []
+    for g in range(12):
+        end = [fresh() for _ in range(1000)]
+        chain = [end]
+        for _ in range(3):
+            at = rng.randrange(0, 900)
+            chain.append([*chain[-1][:at], *(fresh() for _ in range(85)), *chain[-1][at + 85 :]])
+        texts = [[*end[:k], fresh(), *end[k + 1 :]] for k in rng.sample(range(1000), 12)] + [chain[1], chain[2]] + [[*chain[3][:k], fresh(), *chain[3][k + 1 :]] for k in rng.sample(range(1000), 12)]
+        docs += [(100 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in N.classes(df).collect()} == all_pairs(docs)
+
+
+def test_null_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(None, text), (7, text), (9, text), (None, "other words stand here alone today my friend")], "doc_id long, text string")
+    assert [r["class_id"] for r in N.classes(df).orderBy("digest", "doc_id").collect()].count(7) == 3
+    assert sorted(str(r["doc_id"]) for r in N.keep_one(df).collect()) == ["7", "None"]
+
+
 def test_odd_rows(odd):
     found = {(r["doc_id"], r["class_id"], r["class_size"]) for r in N.classes(odd.select("doc_id", "text")).collect()}
     assert (1, 1, 2) in found and (3, 3, 1) in found and (4, 4, 1) in found

@@ -44,6 +44,32 @@ def test_network():
     p = net.probability(*S.windows(data, at, at[:-1] + [r[1] for r in rows], at[:-1] + [r[2] for r in rows]))
     y = np.array([r[3] for r in rows], bool)
     assert (p[y] >= net.threshold).mean() > 0.9 and (p[~y] >= net.threshold).mean() < 0.02
+    assert 0.98 <= net.recall <= 1 and net.precision > 0.95 and net.threshold < 0.9999
+    # Calibrated: of what it gives a probability near p, about that share are keys.
+    middle = (p > 0.2) & (p < 0.8)
+    assert abs(p.mean() - y.mean()) < 0.03 and (middle.sum() < 20 or abs(p[middle].mean() - y[middle].mean()) < 0.3)
+
+
+def test_threshold_keeps_recall():
+    net = S.CharCNN()
+    z, y = np.array([-3.0, -2.0, -1.0, 0.5, 1.0, -2.5]), np.array([1, 1, 0, 1, 0, 0], float)
+    net.choose_threshold(z, y, 0.95)
+    assert net.recall == 1 and net.threshold < 0.5 and net.precision == 0.5
+
+
+def test_findings_of_the_network(spark):
+    """Spans of keys without a digit, of long ones and of the rest of a token, and none of long words and numbers."""
+    rng = random.Random(31)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=36))
+    texts = {1: f"the key {letters} of it", 2: f'auth: "{"x/" * 40}{letters}9" and', 3: "thereonanstersheitkeitung Berheiteinkeitungen ONESESTIONERREINGEN 4041894974608795 end", 4: ""}
+    got = {r["doc_id"]: r for r in S.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == f"cnn:8:{8 + 36}" and got[2]["n_cnn"] == 1 and got[3]["spans"] == got[4]["spans"] == ""
+    # Of the long words of the table's prose (one case but for the first letter) hardly one is taken for a key.
+    rows = S.find_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()
+    word = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?![\s\S])")
+    found = [r["text"][int(a) : int(b)] for r in rows for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "cnn"]
+    asked = [m for r in rows for m in re.findall(r"[A-Za-z0-9+/_=.-]{16,}", r["text"] or "") if word.match(m)]
+    assert len(asked) > 50 and sum(bool(word.match(x)) for x in found) <= 0.02 * len(asked)
 
 
 def test_masking_and_odd(spark, odd):

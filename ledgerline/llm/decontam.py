@@ -2,9 +2,11 @@
 
 The test items are the indexed side.  A posting's BM25 weight is divided by
 its item's total, so an item found whole scores 1; a passage's score is the
-sum over its distinct words.  Every training text is cut into passages of
-2L words, one every L words, L being the longest item's length (64 at least),
-so a copied item lies whole in one passage.  Every passage is a query:
+sum over its distinct words.  Items are indexed by length, up to 64 words, up
+to 256, and so on by fours, so a long item doesn't change the passages that
+others are sought in.  Every training text is cut into passages of 2L words,
+one every L words, L being the length of the longest item of an index, so a
+copied item lies whole in one passage.  Every passage is a query:
 
 * the upper bound on all passages: words of the most items are set aside as
   long as they give no item more than ``slack`` of the threshold; an item can
@@ -20,10 +22,12 @@ so a copied item lies whole in one passage.  Every passage is a query:
 Items of two to four words aren't indexed; they match where their exact word
 sequence stands.
 
-An index covers ``block_items`` items at most, so what is broadcast is
-bounded; further items make further indexes.  Defined results: null and empty
-texts and items never match; items of one word have no question and are left out;
-equal items are all reported; repeated rows are reported alike.
+What is broadcast at once is the indexes of about ``block_mb`` MB of items, so
+it is bounded; further items make further scans.  Defined results: null and
+empty texts and items never match; items of one word have no question and
+answer to verify and are left out; equal items, those with a null item_id
+included, are all reported; item ids may have any type; repeated rows are
+reported alike; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textkit import U, Words, chunks, shingles
 
@@ -50,16 +55,21 @@ def answer_start(text: str, starts: np.ndarray) -> int:
     return cut if 0 < cut < len(starts) else len(starts) // 2
 
 
+def words_of(text: str) -> Words:
+    """Words of one text."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    return Words(raw, np.array([0, len(raw)]))
+
+
 class Index:
     """BM25 postings of test items in blocks, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, slack: float = 0.6):
+    def __init__(self, items: list[tuple], threshold: float, slack: float = 0.6):
         self.threshold = threshold
         self.ids, self.words, self.answer = [], [], []
-        brief: list[tuple[int, np.ndarray]] = []
+        brief: list[tuple] = []
         for i, text in items:
-            raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            own = Words(raw, np.array([0, len(raw)]))
+            own = words_of(text)
             if len(own.hash) >= SHINGLE:
                 self.ids.append(i)
                 self.words.append(own.hash)
@@ -213,12 +223,11 @@ def _as_words(h: np.ndarray) -> Words:
     return out
 
 
-def leaks(index: Index, data: np.ndarray, at: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+def leaks(index: Index, words: Words, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(row, item) -> (score, question overlap, answer overlap) of the verified hits of a chunk, best passage each."""
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not index.ids:
         return found
-    words = Words(data, at)
     for size, known in index.brief.items():
         row, run = shingles(words, size)
         for k in np.flatnonzero(np.isin(run, np.array(list(known), U))).tolist():
@@ -234,53 +243,63 @@ def leaks(index: Index, data: np.ndarray, at: np.ndarray, overlap: float) -> dic
     return found
 
 
-def indexes(items: DataFrame, threshold: float, block_items: int) -> Iterator[Index]:
-    """An index for each ``block_items`` rows of ``items`` (item_id, text); one block at a time is on the driver."""
+def build(items: list[tuple], threshold: float) -> list[Index]:
+    """Indexes of items (id, text) by length, in order of their ids, nulls first."""
+    items = sorted(items, key=lambda x: (1, x[0], x[1]) if x[0] is not None else (0, x[1]))
+    groups: dict[int, list] = {}
+    for x in items:
+        size, limit = len(words_of(x[1]).hash), 64
+        while limit < size:
+            limit *= 4
+        groups.setdefault(limit, []).append(x)
+    return [Index(groups[k], threshold) for k in sorted(groups)]
+
+
+def indexes(items: DataFrame, threshold: float, block_mb: float) -> Iterator[list[Index]]:
+    """Indexes of about ``block_mb`` MB of rows of ``items`` (item_id, text) at a time."""
     usable = items.filter(F.col("text").isNotNull()).select("item_id", "text")
-    blocks = max(1, -(-usable.count() // block_items))
+    size = usable.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+    blocks = max(1, int(-(-size // max(1, int(block_mb * (1 << 20))))))
     for k in range(blocks):
         part = usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else usable
-        yield Index(sorted((r["item_id"], r["text"]) for r in part.collect()), threshold)
+        yield build([(r["item_id"], r["text"]) for r in part.collect()], threshold)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.5, block_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.5, block_mb: float = 32) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of every verified leak of ``items`` (item_id, text) in ``docs`` (doc_id, text)."""
     source = docs.select("doc_id", "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", items.schema["item_id"].dataType), *(T.StructField(n, T.DoubleType()) for n in ("score", "question_overlap", "answer_overlap"))])
+    item_type = to_arrow_type(schema["item_id"].dataType)
     found = None
-    for index in indexes(items, threshold, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for some in indexes(items, threshold, block_mb):
+        sent = docs.sparkSession.sparkContext.broadcast(some)
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
             for batch in batches:
                 for low, _, data, at in chunks(batch.column(1)):
-                    hits = sorted(leaks(own, data, at, overlap).items())
+                    words = Words(data, at)
+                    hits = [(row, index.ids[i], v) for index in sent.value for (row, i), v in sorted(leaks(index, words, overlap).items())]
                     if hits:
-                        ids = batch.column(0).take(pa.array([low + r for (r, _), _ in hits]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([own.ids[i] for (_, i), _ in hits], pa.int64()).cast(_arrow(schema)), *(pa.array([v[k] for _, v in hits]) for k in range(3))], names=schema.names)
+                        ids = batch.column(0).take(pa.array([low + r for r, _, _ in hits]))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in hits], item_type), *(pa.array([v[k] for _, _, v in hits]) for k in range(3))], names=schema.names)
 
         part = source.mapInArrow(each, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _arrow(schema: T.StructType) -> pa.DataType:
-    """Arrow type of the item ids."""
-    return {"integer": pa.int32(), "long": pa.int64()}[schema["item_id"].dataType.typeName()]
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.5, block_items: int = 20_000) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.5, block_mb: float = 32) -> DataFrame:
     """The rows of ``docs`` without a verified leak, with their own columns."""
     place, schema = docs.columns.index("text"), docs.schema
-    for index in indexes(items, threshold, block_items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for some in indexes(items, threshold, block_mb):
+        sent = docs.sparkSession.sparkContext.broadcast(some)
 
         def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low, high, data, at in chunks(batch.column(place)):
-                    good = np.ones(high - low, bool)
-                    good[[r for r, _ in leaks(sent.value, data, at, overlap)]] = False
+                    words, good = Words(data, at), np.ones(high - low, bool)
+                    for index in sent.value:
+                        good[[r for r, _ in leaks(index, words, overlap)]] = False
                     yield batch.slice(low, high - low).filter(pa.array(good))
 
         docs = docs.mapInArrow(each, schema)

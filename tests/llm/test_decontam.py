@@ -51,7 +51,7 @@ def test_partial_and_odd(spark, odd):
     clean = D.clean_documents(odd, items)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 2
     assert D.find_leaks(odd, items.limit(0)).count() == 0 and D.find_leaks(odd.limit(0), items).count() == 0
-    assert D.find_leaks(odd, items, block_items=1).count() == 4
+    assert D.find_leaks(odd, items, block_mb=1e-5).count() == 4
 
 
 def test_short_answers_and_items():
@@ -62,4 +62,46 @@ def test_short_answers_and_items():
     texts = [f"{filler} {question} Answer: Vltava {filler}", f"{filler} {question} {filler} Vltava {filler}", f"{filler} Who wrote Ulysses? Joyce", "Joyce wrote Ulysses who", "", "one"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    assert {(r, index.ids[i]) for r, i in D.leaks(index, data, at, 0.5)} == {(0, 1), (2, 2)}
+    assert {(r, index.ids[i]) for r, i in D.leaks(index, D.Words(data, at), 0.5)} == {(0, 1), (2, 2)}
+
+
+def test_equals_scoring_every_passage():
+    """Both ways: a document is reported with an item exactly if one of its passages reaches the threshold and verifies."""
+    rng = random.Random(6)
+    word = lambda: f"w{min(rng.randrange(300), rng.randrange(300))}"
+    said = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    items = [(i, f"{said(6, 30)}? {said(1, 8)}") for i in range(60)]
+    texts = []
+    for k in range(150):
+        own = items[k % 60][1].split()
+        cut = {0: own, 1: own[: len(own) // 2], 2: own[len(own) // 2 :], 3: [w if rng.random() > 0.15 else word() for w in own], 4: own[:-1]}[k % 5]
+        texts.append(f"{said(0, 150)} {' '.join(cut)} {said(0, 200)}")
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    (index,) = D.build(items, 0.5)
+    words, expected = D.Words(data, at), set()
+    weights = [{} for _ in index.ids]
+    for t in range(len(index.vocabulary)):
+        for p in range(index.at[t], index.at[t + 1]):
+            weights[index.item[p]][index.vocabulary[t]] = index.weight[p]
+    for r in range(len(texts)):
+        h = words.hash[words.at[r] : words.at[r + 1]]
+        for first in range(0, max(1, len(h)), index.longest):
+            passage = h[first : first + 2 * index.longest]
+            there = set(passage.tolist())
+            for i, own in enumerate(weights):
+                if sum(x for w, x in own.items() if int(w) in there) >= 0.5 - 1e-9 and min(index.overlaps(i, passage)) >= 0.5:
+                    expected.add((r, i))
+    assert 40 < len(expected) < 9000 and set(D.leaks(index, words, 0.5)) == expected
+
+
+def test_ids_of_any_type_and_long_items(spark):
+    question = "Which river runs through the old town between the two hills of the north? It is the Vltava of the south"
+    long = " ".join(f"z{i}" for i in range(900))
+    docs = spark.createDataFrame([(1, f"a b c {question} d e f"), (2, long), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", question, 1), (None, question, 2), (None, question, 3), ("y", long, 4), ("z", None, 5), (None, None, 6), ("w", "", 7), ("v", "one", 8)], "item_id string, text string, score int")
+    got = sorted((r["doc_id"], str(r["item_id"])) for r in D.find_leaks(docs, items).collect())
+    assert got == [(1, "None"), (1, "None"), (1, "x"), (2, "y")]
+    assert [r["doc_id"] for r in D.clean_documents(docs, items).collect()] == [3]
+    # The long item has an index of its own, so the others' passages stay short.
+    assert [i.longest for i in D.build([("x", question), ("y", long)], 0.5)] == [64, 900]

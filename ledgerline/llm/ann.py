@@ -1,7 +1,9 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 Vectors are cut into two halves; each half has its own centroids, fitted by
-k-means on a bounded sample.  A vector lies in the cell of its two nearest
+k-means on a bounded sample; their number grows with the square root of the
+number of vectors, so that the work of finding cells and that of ranking
+entries grow alike.  A vector lies in the cell of its two nearest
 centroids.  For a query the cells come in order of summed distance from a heap
 over centroid pairs (the multi-sequence walk) until the cells taken hold
 ``reach`` of all vectors and ``least`` vectors; every vector of those cells is
@@ -10,21 +12,24 @@ order by distance the order by inner product; others are scaled to the longest
 norm's sphere by one more coordinate in the second half, which keeps it so.
 
 Equal vectors form one entry that keeps the smallest ids a result could need
-(k+1), so a vector that a third of the rows share is ranked once; no result
-changes by that.  Entries are grouped by their first centroid and dealt into
+(k+1 rows' ids), so a vector that a third of the rows share is ranked once; no
+result changes by that.  Entries are grouped by their first centroid and dealt into
 blocks of ``block`` rows, queries likewise; a task ranks one block against one
 block.  What the driver gets is the number of entries per cell, at most
 ``centroids`` squared numbers, and the sample.
 
 Defined results: vectors null, zero, of another length than most, or with null
-or non-finite components take no part; ties go to the smaller id; repeated
-rows with equal id count once; with fewer candidates than k all are returned;
-an empty table gives no row.
+or non-finite components take no part, nor do null ids; ties go to the smaller
+id; every row but the query's own is a candidate, so rows with equal ids are
+each other's, and each is a query of its own, with results under the same
+query_id; with fewer candidates than k all are returned; an empty table gives
+no row.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +106,7 @@ class MultiIndex:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id and v (array of doubles) of the rows that take part, one per distinct id and vector."""
+    """id and v (array of doubles) of the rows that take part."""
     v = F.col("v")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & good)
@@ -113,8 +118,8 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim) if len(column) else np.zeros((0, dim))
 
 
-def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, centroids: int = 64, sample: int = 8192, reach: float = 0.55, least: int = 4000, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found for each row of ``vectors`` for which ``is_query`` (a column over vec_id) holds."""
+def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, centroids: int | None = None, sample: int = 8192, reach: float = 0.55, least: int = 4000, block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest found for each row of ``vectors`` for which ``is_query`` (a column over vec_id) holds; ``centroids`` of a half: a quarter of the square root of the number of distinct vectors, as a power of two from 16 to 1024, unless given."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
     shape = rows.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").head()
@@ -123,11 +128,14 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
         return none
     dim = shape["d"]
     rows = rows.filter(F.size("v") == dim)
-    # One entry per distinct vector, with the k+1 smallest ids that bear it.
-    ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    # One entry per distinct vector, with the k+1 smallest ids that bear it, repeats included.
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
     entries = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
     facts = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")).head()
     # Entries are distinct, so a share of their hashes' range is a sample of bounded size.
+    if centroids is None:
+        centroids = int(min(1024, max(16, 2 ** round(math.log2(max(1.0, math.sqrt(facts["n"]) / 4))))))
+    sample = max(sample, 16 * centroids)
     share = min(1.0, sample / facts["n"])
     taken = sorted(r["v"] for r in entries.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 40)) <= int(share * (1 << 40))).select("v").limit(2 * sample).collect())
     index = MultiIndex(np.array(taken, float), centroids, float(np.sqrt(facts["norm"])))
@@ -157,37 +165,45 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
                 first += groups
                 second += groups.values()
             pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first, pa.int32()), pa.array(second, pa.list_(pa.int32()))], names=["query_id", "v", "a", "bs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in range(3)), pa.array(first, pa.int32()), pa.array(second, pa.list_(pa.int32()))], names=["query_id", "v", "nth", "a", "bs"])
 
-    asked = rows.distinct().filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "v")
+    # Rows of equal id and vector get equal results: one is asked, ``nth`` times answered.
+    asked = rows.filter(is_query(F.col("id"))).groupBy(F.col("id").alias("query_id"), "v").agg(F.count(F.lit(1)).alias("nth"))
     # The walk is work per query, not per byte: a number of its own keeps small rows from being put into one task.
     parts = min(10_000, -(-max(1, asked.count()) // 128))
-    visits = materialize(asked.repartition(parts, "query_id").mapInArrow(visit, "query_id long, v array<double>, a int, bs array<int>"), "visits")
+    visits = materialize(asked.repartition(parts, "query_id").mapInArrow(visit, "query_id long, v array<double>, nth long, a int, bs array<int>"), "visits")
     # Both sides of a centroid are dealt into blocks of bounded size; each pair of blocks meets in one task.
     blocks_of = lambda df: df.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     sizes = blocks_of(placed).withColumnRenamed("n", "nv").join(blocks_of(visits).withColumnRenamed("n", "nq"), "a")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(sizes, "a").withColumn("q", F.pmod(F.xxhash64("query_id", "v"), F.col("nq")).cast("int")).select("query_id", "v", "a", "bs", "q", upto("nv").alias("p"))
+    left = visits.join(sizes, "a").withColumn("q", F.pmod(F.xxhash64("query_id", "v"), F.col("nq")).cast("int")).select("query_id", "v", "nth", F.xxhash64("v").alias("vh"), "a", "bs", "q", upto("nv").alias("p"))
     right = placed.join(sizes, "a").withColumn("p", F.pmod(F.xxhash64("v"), F.col("nv")).cast("int")).select("v", "ids", "a", "b", "p", upto("nq").alias("q"))
 
     def rank(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_v, out_s, out_n, out_h = [], [], [], [], []
         if asked.num_rows and stored.num_rows:
             x = matrix(stored["v"].combine_chunks(), dim)
             b = stored["b"].to_numpy()
             ids = stored["ids"].combine_chunks()
             flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
-            second, names = asked["bs"].to_pylist(), asked["query_id"].to_numpy()
+            second, names, times, hashes = asked["bs"].to_pylist(), asked["query_id"].to_numpy(), asked["nth"].to_numpy(), asked["vh"].to_numpy()
             queries = matrix(asked["v"].combine_chunks(), dim)
 
             def keep(i: int, mine: np.ndarray) -> None:
                 """The k best of some entries for query i; summed in one fixed order, so equal vectors get equal scores."""
                 exact = (x[mine] * queries[i]).sum(1)
-                found = [(-s, int(v)) for e, s in zip(mine, exact, strict=True) for v in flat[ends[e] : ends[e + 1]] if v != names[i]]
+                found = []
+                for e, s in zip(mine, exact, strict=True):
+                    own = flat[ends[e] : ends[e + 1]].tolist()
+                    if names[i] in own and (x[e] == queries[i]).all():
+                        own.remove(names[i])  # the query's own row, one of its equals
+                    found += [(-s, v) for v in own]
                 for s, v in sorted(found)[:k]:
                     out_q.append(int(names[i]))
                     out_v.append(v)
                     out_s.append(-s)
+                    out_n.append(int(times[i]))
+                    out_h.append(int(hashes[i]))
 
             for low in range(0, len(names), 256):
                 part = queries[low : low + 256]
@@ -201,8 +217,8 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
                 for i in range(len(part)):
                     mine = np.flatnonzero((rough[i] >= cut[i] - 1e-9 * (1 + abs(cut[i]))) & np.isfinite(rough[i])) if np.isfinite(cut[i]) else np.flatnonzero(np.isfinite(rough[i]))
                     keep(low + i, mine)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vh": pa.array(out_h, pa.int64()), "nth": pa.array(out_n, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    pairs = left.groupBy("a", "p", "q").cogroup(right.groupBy("a", "p", "q")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    pairs = left.groupBy("a", "p", "q").cogroup(right.groupBy("a", "p", "q")).applyInArrow(rank, "query_id long, vh long, nth long, vec_id long, score double")
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "vh").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "nth"))).drop("col")

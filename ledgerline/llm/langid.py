@@ -8,9 +8,9 @@ the counts are frozen, the code length depends only on (context, byte), so it
 is tabulated once, for the contexts that a language has seen, and a text costs
 one table look-up per byte and language.
 
-Learning uses a bounded sample: per language the ``sample_docs`` labelled rows
-with the smallest hash, of rows of at most ``sample_bytes`` bytes.  Scoring
-covers every byte of every text.
+Learning uses a bounded sample: per language about ``sample_docs`` labelled
+rows, those whose hash lies in a share of its range, of rows of at most
+``sample_bytes`` bytes.  Scoring covers every byte of every text.
 
 Defined results: a null text or one without a letter gives ``und`` with score
 0 and null bits; equal code lengths go to the alphabetically first language;
@@ -39,15 +39,13 @@ def learn_rows(docs: DataFrame, sample_docs: int, sample_bytes: int) -> list[tup
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes)).select(
         F.col("lang"), F.col("text"), F.xxhash64(F.col("doc_id").cast("string"), F.octet_length("text")).alias("_h")
     )
-    from pyspark.sql import Window
-
-    ranked = usable.select("lang", "_h").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
-    limits = ranked.filter(F.col("_r") <= sample_docs).groupBy("lang").agg(F.max("_h").alias("h")).collect()
-    if not limits:
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    if not counts:
         return []
     chosen = F.lit(False)
-    for r in limits:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("_h") <= r["h"]))
+    for r in counts:
+        share = min(1.0, sample_docs / r["n"])
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40))))
     found = usable.filter(chosen).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
 

@@ -9,16 +9,15 @@ ends when its next arrival is later than all registers hold.  Two texts agree
 in a register with their probability Jaccard similarity.
 
 Texts with equal word sequences form one digest, and only one text of a digest
-goes on.  Each band of four registers is a bucket.  A bucket links its members
-to leaders instead of to each other; links are
-verified by the exact Jaccard similarity of the shingle sets (32-bit hashes),
-where the registers' low bytes don't rule that out.  A bucket is led by its
-most central texts, 8 at first; members without a link to a leader of theirs
-get more leaders among themselves, 8 times as many each round, until none is
-left, so no bucket's size is capped.  Then every two members of a bucket that
-the links so far leave in different components and whose registers don't rule
-a link out are verified too.  Classes are the connected components of the
-verified links.
+goes on.  Each band of four registers is a bucket.  A bucket's members are
+first linked to its most central texts, its leaders; links are verified by the
+exact Jaccard similarity of the shingle sets (32-bit hashes).  Then every two
+members of a bucket that those links leave in different components are
+compared, unless their registers rule a link out: a task holds two blocks of a
+bucket, or several small buckets, with their shingle sets, and gives out only
+the links that join components, so neither pairs nor a whole bucket are made
+into rows.  Members of a bucket's largest component aren't compared with each
+other.  Classes are the connected components of all links.
 
 Defined results: null and empty texts and texts without a word have a class of
 their own each; repeated rows share a class; a null doc_id takes part like
@@ -41,7 +40,7 @@ from .graph import components
 from .scratch import materialize
 from .textkit import U, Words, binary_column, chunks, mix, sequence_digests, shingles, to_unit
 
-SHINGLE, REGISTERS, ROWS = 5, 64, 4
+SHINGLE, REGISTERS, ROWS, LEADERS = 5, 64, 4, 8
 
 
 def weighted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,8 +149,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 if min(len(p), len(q)) < threshold * max(len(p), len(q)):
                     linked.append(False)
                     continue
-                common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
-                linked.append(common >= threshold * (len(p) + len(q) - common))
+                linked.append(alike(p, q, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(each, "a binary, b binary, linked boolean")
@@ -186,38 +184,96 @@ def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> Dat
     return met.mapInArrow(each, "band int, key long, digest binary, leader binary")
 
 
-def across(members: DataFrame, floor: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of members of one bucket with different roots whose registers agree in ``floor`` or more.
+def joining(band: np.ndarray, root: np.ndarray, free: np.ndarray, side: np.ndarray, keys: np.ndarray, sig: np.ndarray, sets: list, threshold: float, floor: float) -> list[tuple[int, int]]:
+    """Links between the rows of one bucket that join components, by their places.
 
-    All of them, or with ``nearest`` for each member the most alike of each
-    other root and group of 64.  The pairs within a bucket's largest root need
-    no comparison, so only its other members are listed, in such groups.
+    Rows of one ``side`` are compared with those of another, or all with each
+    other if there is one side only; ``free`` rows, those outside the largest
+    component, with all, others with free ones.  A pair is judged in the first
+    band that it shares.
     """
-    sizes = members.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = materialize(mixed.select("band", "key", F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / 64).alias("groups")), "mixed")
-    listed = members.join(mixed, ["band", "key"]).filter("root <> largest").groupBy("band", "key", F.expr("pmod(xxhash64(digest), groups)").alias("part")).agg(F.collect_list(F.struct("digest", "sig", "root")).alias("listed"))
-    met = members.join(materialize(listed, "listed"), ["band", "key"]).select("digest", "sig", "root", "listed")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, found = [], []
-            for i in range(batch.num_rows):
-                names, sigs, roots = (batch.column(3)[i].values.field(k).to_pylist() for k in range(3))
-                own = batch.column(2)[i].as_py()
-                agree = (np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, REGISTERS) == np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)).mean(1)
-                agree[[r == own for r in roots]] = 0
-                best: dict[bytes, int] = {}
-                for j in np.flatnonzero(agree >= floor).tolist():
-                    key = roots[j] if nearest else names[j]
-                    if key not in best or agree[j] > agree[best[key]]:
-                        best[key] = j
-                at += [i] * len(best)
-                found += [names[j] for j in best.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["digest", "other"])
-
-    pairs = met.mapInArrow(each, "digest binary, other binary")
-    return pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+    n = len(root)
+    agree = np.zeros((n, n))
+    for i in range(0, n, 128):  # 128 rows against all at a time
+        agree[i : i + 128] = (sig[i : i + 128, None, :] == sig[None, :, :]).mean(2)
+    may = (agree >= floor) & (root[:, None] != root[None, :]) & (free[:, None] | free[None, :]) & np.triu(np.ones((n, n), bool), 1)
+    if len(np.unique(side)) > 1:
+        may &= side[:, None] != side[None, :]
+    a, b = np.nonzero(may)
+    size = np.array([len(x) for x in sets])
+    good = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+    a, b = a[good], b[good]
+    first = (keys[a] == keys[b]).argmax(1) == band[0]
+    a, b = a[first], b[first]
+    order = np.argsort(-agree[a, b], kind="stable")
+    parent = {int(r): int(r) for r in root}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y and alike(sets[i], sets[j], threshold):
+            parent[x] = y
+            out.append((i, j))
+    return out
+
+
+def alike(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have at least ``threshold`` Jaccard similarity."""
+    common = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+    return common >= threshold * (len(p) + len(q) - common)
+
+
+def across(buckets: DataFrame, groups: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, floor: float, block: int = 256, block_mb: int = 4) -> DataFrame:
+    """Verified links (a, b) between members of one bucket with different roots, all that can join two components.
+
+    ``buckets`` has digest, band and key; ``roots`` the components so far
+    (digest, root) of every digest in it.
+    """
+    placed = buckets.join(roots, "digest").join(sets.select("digest", F.octet_length("set").cast("long").alias("size")), "digest")
+    per_root = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = per_root.groupBy("band", "key").agg(F.max(F.struct("n", "root", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / (block_mb << 20))).cast("int")
+    mixed = mixed.select("band", "key", F.col("top.root").alias("largest"), "n", parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("few"), parts(F.col("top.n"), F.col("top.size")).alias("many"))
+    mixed = materialize(mixed, "mixed")
+    # Buckets of one block a side share tasks' groups of about a block's rows.
+    shared = mixed.filter("few = 1 and many = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    together = max(1, -(-shared // block))
+    free = F.col("root") != F.col("largest")
+    own = F.when(free, F.pmod(F.xxhash64("digest"), F.col("few"))).otherwise(F.pmod(F.xxhash64("digest"), F.col("many"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    zero = F.lit(0)
+    against = F.transform(upto("few"), lambda j: pair(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
+    spread = F.when(free, F.concat(against, F.transform(upto("many"), lambda j: pair(2, F.col("own"), j, zero)))).otherwise(F.transform(upto("few"), lambda i: pair(2, i, F.col("own"), F.lit(1))))
+    alone = (F.col("few") == 1) & (F.col("many") == 1)
+    where = placed.drop("size").join(mixed, ["band", "key"]).withColumn("own", own)
+    where = where.withColumn("at", F.explode(F.when(alone, F.array(pair(0, zero, zero, zero))).otherwise(spread)))
+    name = F.when(alone, F.pmod(F.xxhash64("band", "key"), F.lit(together))).otherwise(F.xxhash64("band", "key"))
+    where = where.select(name.alias("name"), "at.kind", "at.i", "at.j", "at.side", "band", "key", "digest", "root", free.alias("free"))
+    whole = where.join(groups.select("digest", "bands", "sig"), "digest").join(sets, "digest").drop("id")
+
+    def judge(table: pa.Table) -> pa.Table:
+        band, key, side, free = (table[n].to_numpy() for n in ("band", "key", "side", "free"))
+        digests = table["digest"].to_pylist()
+        root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(band), -1)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(band), -1)
+        sets = [np.frombuffer(x, "<u4") for x in table["set"].to_pylist()]
+        order = np.lexsort((key, band))
+        cut = np.flatnonzero(np.concatenate([[True], (band[order][1:] != band[order][:-1]) | (key[order][1:] != key[order][:-1])]))
+        found = []
+        for mine in np.split(order, cut[1:]):
+            if len(mine) > 1:
+                links = joining(band[mine], root[mine], free[mine], side[mine], keys[mine], sig[mine], [sets[k] for k in mine], threshold, floor)
+                found += [(digests[mine[i]], digests[mine[j]]) for i, j in links]
+        return pa.table({"a": pa.array([min(x) for x in found], pa.binary()), "b": pa.array([max(x) for x in found], pa.binary())})
+
+    return whole.groupBy("name", "kind", "i", "j").applyInArrow(judge, "a binary, b binary").distinct()
 
 
 def links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -230,32 +286,16 @@ def links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     members = materialize(members.drop("n").join(central, "digest"), "members")
     wanted = groups.select("digest", "id").join(central.select("digest"), "digest")
     sets = materialize(shingle_sets(docs, wanted), "sets")
-    everyone, found, tried, at_once = members, None, None, 8
-    while True:
-        order = Window.partitionBy("band", "key").orderBy(F.desc("pull"), "digest")
-        first = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= at_once)
-        leaders = materialize(first.groupBy("band", "key").agg(F.collect_list(F.struct("digest", "sig")).alias("leaders")), "leaders")
-        met = materialize(against_leaders(members, leaders, floor=threshold - 0.18).withColumns({"a": F.least("digest", "leader"), "b": F.greatest("digest", "leader")}), "met")
-        judged = materialize(verify(met.select("a", "b").distinct(), sets, threshold), "judged")
-        good = judged.filter("linked").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        done = met.join(good, ["a", "b"]).select("band", "key", "digest").union(leaders.select("band", "key", F.explode("leaders.digest").alias("digest")))
-        left = members.join(done, ["band", "key", "digest"], "left_anti")
-        rest = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
-        members = materialize(left.join(rest, ["band", "key"]), "members")
-        if members.isEmpty():
-            break
-        at_once = min(512, at_once * 8)
-    # The nearest pairs first: what they link leaves fewer pairs to the second pass, which leaves none.
-    for nearest in (True, False):
-        roots = components(found).withColumnRenamed("node", "digest")
-        placed = materialize(everyone.drop("pull").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "placed")
-        pairs = materialize(across(placed, threshold - 0.18, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        judged = materialize(verify(pairs, sets, threshold), "judged")
-        found = found.unionByName(judged.filter("linked").select("a", "b"))
-        tried = tried.unionByName(judged.select("a", "b"))
-    return found
+    order = Window.partitionBy("band", "key").orderBy(F.desc("pull"), "digest")
+    first = members.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS)
+    leaders = materialize(first.groupBy("band", "key").agg(F.collect_list(F.struct("digest", "sig")).alias("leaders")), "leaders")
+    floor = threshold - 0.18
+    met = against_leaders(members, leaders, floor).select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
+    found = materialize(verify(met, sets, threshold), "judged").filter("linked").select("a", "b")
+    buckets = members.select("digest", "band", "key")
+    roots = components(found).withColumnRenamed("node", "digest")
+    roots = central.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return found.unionByName(materialize(across(buckets, groups, sets, materialize(roots, "roots"), threshold, floor), "across"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -40,7 +40,7 @@ from .graph import components
 from .scratch import materialize
 from .textkit import U, Words, binary_column, chunks, mix, sequence_digests, shingles, to_unit
 
-SHINGLE, REGISTERS, ROWS, LEADERS = 5, 64, 4, 8
+SHINGLE, REGISTERS, ROWS, LEADERS = 5, 64, 4, 4
 
 
 def weighted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> DataFrame:
-    """(band, key, digest, leader) of members and the leaders of their bucket that their registers look most like; ``across`` seeks the other links.
+    """(digest, leader) of members and the leader of their bucket that their registers look most like; ``across`` seeks the other links.
 
     Registers agree in about the share that the texts are alike; with 64 of
     them (four agree, as the bucket is shared) a similarity of 0.8 is seen under
@@ -175,13 +175,13 @@ def against_leaders(members: DataFrame, leaders: DataFrame, floor: float) -> Dat
                 names = listed.field(0)
                 agree = (np.frombuffer(b"".join(listed.field(1).to_pylist()), np.uint8).reshape(-1, REGISTERS) == sig).mean(1)
                 agree[[names[j].as_py() == own for j in range(len(names))]] = 0
-                for j in np.flatnonzero(agree >= max(floor, agree.max() - 0.06)):
+                best = int(agree.argmax())
+                if agree[best] >= floor:
                     at.append(i)
-                    found.append(names[int(j)].as_py())
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in range(3)), pa.array(found, pa.binary())], names=["band", "key", "digest", "leader"])
+                    found.append(names[best].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["digest", "leader"])
 
-    return met.mapInArrow(each, "band int, key long, digest binary, leader binary")
+    return met.mapInArrow(each, "digest binary, leader binary")
 
 
 def joining(band: np.ndarray, root: np.ndarray, free: np.ndarray, side: np.ndarray, keys: np.ndarray, sig: np.ndarray, sets: list, threshold: float, floor: float) -> list[tuple[int, int]]:

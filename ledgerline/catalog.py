@@ -13,7 +13,6 @@ engine's own sources.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -369,8 +368,8 @@ _WRITTEN: dict[tuple, str] = {}
 def once(spark: SparkSession, d: str, what: str, write: Callable[[str], None]) -> str:
     """Folder of files made of a data folder's tables: written to the shared folder at first use in a session."""
     key = (spark.sparkContext.applicationId, d, what)
-    if key not in _WRITTEN:
-        folder = f"{files.shared_dir(spark)}/ledgerline-{what}-{uuid.uuid4().hex}"
+    if key not in _WRITTEN or not files.exists(_WRITTEN[key], spark):
+        folder = files.scratch_folder(spark, what)
         write(folder)
         _WRITTEN[key] = folder
     return _WRITTEN[key]
@@ -550,7 +549,7 @@ def changeset_version_range(spark, d):
 @query(f"SELECT store_key, user_id, round(value, 3) AS value, version, seq FROM (SELECT *, row_number() OVER (PARTITION BY store_key, user_id ORDER BY version DESC, seq DESC) AS r FROM {STORED_SQL}) WHERE r = 1 AND NOT is_delete")
 def replay_state(spark, d):
     """All versions replayed in five commits by two backends, the second resuming at the first one's marker."""
-    changes, folder = changes_of(spark, d), f"{files.shared_dir(spark)}/ledgerline-replay-{uuid.uuid4().hex}"
+    changes, folder = changes_of(spark, d), files.scratch_folder(spark, "replay")
     top = changes.agg(F.max("version")).head()[0] or 0
     step = max(1, -(-top // 5))
     for target in (min(top, 2 * step), top):

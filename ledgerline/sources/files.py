@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A name in the shared folder, not made yet; what is written there is deleted when this process ends."""
+    folder = f"{shared_dir(spark)}/ledgerline-{what}-{uuid.uuid4().hex}"
+    _MADE.append((spark, folder))
+    return folder
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all scratch folders of this process."""
+    while _MADE:
+        spark, folder = _MADE.pop()
+        try:
+            delete(folder, spark)
+        except Exception:  # noqa: BLE001 - the session may have ended; the files are scratch
+            continue
+
+
 def _open(path: str, spark: SparkSession | None = None):
     """(file system, path) of the Hadoop API."""
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

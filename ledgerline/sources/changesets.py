@@ -1,9 +1,11 @@
 """Changesets: one file of length-delimited entries per version, and their manifest.
 
 ``register(spark)`` adds the format ``changeset`` for folders that every
-machine mounts; its reader plans one partition per version file within the
-bounds given as options ``after`` and ``target`` and by pushed filters on the
-version, so other versions aren't opened, and streams each file.  Folders of
+machine mounts; its reader plans tasks of neighbouring version files, an even
+share of the bytes each (option ``tasks``, 128 MB at most unless one file is
+larger), within the bounds given as options ``after`` and ``target`` and by
+pushed filters on the version, so other versions aren't opened, and streams
+each file.  Folders of
 other file systems are read by Spark itself, a whole file at a time (2 GB at
 most), again only those within the bounds.  Entry fields are numbered by the
 option ``fields`` (store, delete, key, value).
@@ -12,15 +14,17 @@ option ``fields`` (store, delete, key, value).
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schemas import CHANGES, MANIFEST
 from . import files
@@ -40,18 +44,15 @@ def put_varint(n: int) -> bytes:
     return bytes(out)
 
 
-def get_varint(read) -> int | None:
-    """The next integer of a byte reader; None at a clean end."""
+def get_varint(data: bytes, at: int) -> tuple[int, int]:
+    """The integer at a place, and the place behind it; raises IndexError where the bytes end inside."""
     n = shift = 0
     while True:
-        b = read(1)
-        if not b:
-            if shift:
-                raise ValueError("the file ends inside a number")
-            return None
-        n |= (b[0] & 127) << shift
-        if b[0] < 128:
-            return n
+        b = data[at]
+        at += 1
+        if b < 128:
+            return n | b << shift, at
+        n |= (b & 127) << shift
         shift += 7
 
 
@@ -68,44 +69,67 @@ def encode(store_key: str, key: bytes, value: bytes | None, is_delete: bool, fie
     return put_varint(len(body)) + body
 
 
-def decode(read, fields: tuple[int, ...] = (1, 2, 3, 4)) -> Iterator[tuple[str, bytes, bytes | None, bool]]:
-    """Entries of a byte reader, one at a time; unknown fields are skipped, a cut-off entry raises."""
+def decode(read, fields: tuple[int, ...] = (1, 2, 3, 4), piece: int = 1 << 20) -> Iterator[tuple[str, bytes, bytes | None, bool]]:
+    """Entries of a byte reader, ``piece`` bytes read at a time; unknown fields are skipped, a cut-off entry raises."""
     store_n, delete_n, key_n, value_n = fields
-    while (size := get_varint(read)) is not None:
-        body = read(size)
-        if len(body) < size:
-            raise ValueError("the file ends inside an entry")
-        at, found = 0, {store_n: b"", delete_n: 0, key_n: b"", value_n: b""}
-
-        def take(body=body) -> int:
-            nonlocal at
-            n = shift = 0
-            while True:
-                b = body[at]
-                at += 1
-                n |= (b & 127) << shift
-                if b < 128:
-                    return n
-                shift += 7
-
-        while at < size:
-            tag = take()
+    held, at = read(piece), 0
+    while at < len(held):
+        try:
+            size, begin = get_varint(held, at)
+        except IndexError:
+            size, begin = 0, len(held) + 1
+        if begin + size > len(held):
+            more = read(max(piece, begin + size - len(held)))
+            if not more:
+                raise ValueError("the file ends inside an entry" if begin <= len(held) else "the file ends inside a number")
+            held, at = held[at:] + more, 0
+            continue
+        body = held[begin : begin + size]
+        at = begin + size
+        if at == len(held):
+            held, at = read(piece), 0
+        place, found = 0, {store_n: b"", delete_n: 0, key_n: b"", value_n: b""}
+        while place < size:
+            tag, place = get_varint(body, place)
             kind = tag & 7
-            if kind == 0:
-                value = take()
-            elif kind == 2:
-                n = take()
-                value = body[at : at + n]
-                at += n
+            if kind == 2:
+                n, place = get_varint(body, place)
+                value = body[place : place + n]
+                place += n
+            elif kind == 0:
+                value, place = get_varint(body, place)
             elif kind in (1, 5):
                 value = None
-                at += 8 if kind == 1 else 4
+                place += 8 if kind == 1 else 4
             else:
                 raise ValueError(f"wire type {kind} isn't known")
+            if place > size:
+                raise ValueError("a field ends behind its entry")
             if tag >> 3 in found:
                 found[tag >> 3] = value
         gone = bool(found[delete_n])
-        yield found[store_n].decode(), bytes(found[key_n]), None if gone else bytes(found[value_n]), gone
+        yield found[store_n].decode(), found[key_n], None if gone else found[value_n], gone
+
+
+def decoded_batches(read, version: int, fields: tuple[int, ...], rows: int = 10_000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """One version's entries as Arrow batches of at most ``rows`` rows and about ``size`` bytes."""
+    held, seq, weight = [], 0, 0
+
+    def batch() -> pa.RecordBatch:
+        first = seq - len(held)
+        store, key, value, gone = zip(*held, strict=True)
+        columns = [pa.array([version] * len(held), pa.int64()), pa.array(range(first, seq), pa.int64()), pa.array(store, pa.string()), pa.array(key, pa.binary()), pa.array(value, pa.binary()), pa.array(gone, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=CHANGES.names)
+
+    for entry in decode(read, fields):
+        held.append(entry)
+        seq += 1
+        weight += len(entry[1]) + len(entry[2] or b"")
+        if len(held) == rows or weight > size:
+            yield batch()
+            held, weight = [], 0
+    if held:
+        yield batch()
 
 
 def file_name(version: int) -> str:
@@ -114,11 +138,22 @@ def file_name(version: int) -> str:
 
 
 @dataclass
-class VersionFile(InputPartition):
-    """One version's file."""
+class VersionFiles(InputPartition):
+    """(version, path) of the files that one task reads, in order of version."""
 
-    version: int
-    path: str
+    files: list[tuple[int, str]]
+
+
+def share_out(sizes: list[int], tasks: int, most: int = 128 << 20, opening: int = 1 << 18) -> list[int]:
+    """First file of each task: runs of whole files of about an even share of the bytes, ``most`` at the most if files are smaller; ``opening`` is a file's cost."""
+    share = min(most, max(opening * 4, sum(x + opening for x in sizes) // max(tasks, 1)))
+    begins, weight = [], 0
+    for k, x in enumerate(sizes):
+        if not begins or weight + x + opening > share:
+            begins.append(k)
+            weight = 0
+        weight += x + opening
+    return begins
 
 
 class _Reader(DataSourceReader):
@@ -126,6 +161,7 @@ class _Reader(DataSourceReader):
         self.path = options["path"].removeprefix("file://")
         self.after, self.target = int(options.get("after", 0)), int(options.get("target", 0))
         self.fields = tuple(map(int, options.get("fields", FIELDS).split(",")))
+        self.tasks = int(options.get("tasks", 8))
         self.only: set[int] | None = None
 
     def pushFilters(self, filters):
@@ -147,18 +183,20 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         found = []
-        for name in os.listdir(self.path):
-            if m := re.fullmatch(r"(\d{9,})\.delimpb", name):
-                v = int(m[1])
-                if v > self.after and (self.target <= 0 or v <= self.target) and (self.only is None or v in self.only):
-                    found.append(VersionFile(v, os.path.join(self.path, name)))
-        return sorted(found, key=lambda p: p.version) or [VersionFile(0, "")]
+        with os.scandir(self.path) as entries:
+            for entry in entries:
+                if m := re.fullmatch(r"(\d{9,})\.delimpb", entry.name):
+                    v = int(m[1])
+                    if v > self.after and (self.target <= 0 or v <= self.target) and (self.only is None or v in self.only):
+                        found.append((v, entry.path, entry.stat().st_size))
+        found.sort()
+        begins = share_out([size for _, _, size in found], self.tasks)
+        return [VersionFiles([(v, path) for v, path, _ in found[a:b]]) for a, b in itertools.pairwise([*begins, len(found)])] or [VersionFiles([])]
 
     def read(self, partition):
-        if partition.path:
-            with open(partition.path, "rb", buffering=1 << 20) as f:
-                for seq, (store, key, value, gone) in enumerate(decode(f.read, self.fields)):
-                    yield partition.version, seq, store, key, value, gone
+        for version, path in partition.files:
+            with open(path, "rb", buffering=0) as f:
+                yield from decoded_batches(f.read, version, self.fields)
 
 
 @dataclass
@@ -166,7 +204,7 @@ class _Wrote(WriterCommitMessage):
     files: list
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Writes one file per version; the rows of a version must come in one partition, in order of seq."""
 
     def __init__(self, options):
@@ -174,20 +212,22 @@ class _Writer(DataSourceWriter):
         self.fields = tuple(map(int, options.get("fields", FIELDS).split(",")))
         self.stores = json.loads(options.get("stores", "null"))
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().taskAttemptId()
         os.makedirs(self.path, exist_ok=True)
         files, out, now = [], None, None
-        for r in rows:
-            if r.version != now:
-                if out:
-                    out.close()
-                now = r.version
-                files.append((os.path.join(self.path, f".{task}.{file_name(now)}"), os.path.join(self.path, file_name(now))))
-                out = open(files[-1][0], "wb")  # noqa: SIM115
-            out.write(encode(r.store_key, r.key, r.value, r.is_delete, self.fields))
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("version", "store_key", "key", "value", "is_delete")]
+            for version, store, key, value, gone in zip(*columns, strict=True):
+                if version != now:
+                    if out:
+                        out.close()
+                    now = version
+                    files.append((os.path.join(self.path, f".{task}.{file_name(now)}"), os.path.join(self.path, file_name(now))))
+                    out = open(files[-1][0], "wb")  # noqa: SIM115
+                out.write(encode(store, key, value, gone, self.fields))
         if out:
             out.close()
         return _Wrote(files)
@@ -242,23 +282,10 @@ def read_remote(spark: SparkSession, path: str, after: int = 0, target: int = 0,
     numbers = tuple(map(int, fields.split(",")))
 
     def each(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for where, content in zip(batch.column(0), batch.column(1), strict=True):
                 version = int(os.path.basename(where.as_py()).split(".")[0])
-                rows, seq = [], 0
-                for entry in decode(io.BytesIO(content.as_py()).read, numbers):
-                    rows.append((version, seq, *entry))
-                    seq += 1
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds(pa), strict=True)], names=CHANGES.names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds(pa), strict=True)], names=CHANGES.names)
-
-    def kinds(pa):
-        return pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_()
+                yield from decoded_batches(io.BytesIO(content.as_py()).read, version, numbers)
 
     return spark.read.format("binaryFile").load(chosen).select("path", "content").mapInArrow(each, CHANGES)
 
@@ -268,7 +295,7 @@ def read_changes(spark: SparkSession, path: str, after: int = 0, target: int = 0
     if not is_mounted(path):
         return read_remote(spark, path, after, target)
     register(spark)
-    return spark.read.format("changeset").option("after", after).option("target", target).load(path)
+    return spark.read.format("changeset").option("after", after).option("target", target).option("tasks", 2 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def write_changes(changes: DataFrame, path: str, stores: list[dict] | None = None) -> None:

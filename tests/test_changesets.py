@@ -1,7 +1,9 @@
 """Files, manifests, the generator, plans and streams."""
 
+import io
 import json
 import os
+import random
 from dataclasses import replace
 
 import pytest
@@ -194,6 +196,44 @@ def test_filters_choose_files(spark, tmp_path):
         C.write_changes(made, "hdfs://x/y")
 
 
+def test_decode_across_pieces():
+    rng = random.Random(4)
+    entries = [(rng.choice(["", "bank", "x" * 300]), rng.randbytes(rng.choice([0, 1, 200, 5000])), None if gone else rng.randbytes(rng.choice([0, 3, 130])), gone) for gone in rng.choices([False, True], k=300)]
+    raw = b"".join(C.encode(*e) for e in entries)
+    for piece in (1, 7, 129, 4096, 1 << 20):
+        assert list(C.decode(io.BytesIO(raw).read, piece=piece)) == entries
+    for cut in (1, len(C.encode(*entries[-1])) - 1):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(C.decode(io.BytesIO(raw[:-cut] if entries[-1][1] else raw[:-1]).read, piece=64))
+    with pytest.raises(ValueError, match="number"):
+        list(C.decode(io.BytesIO(b"\x80").read))
+    with pytest.raises(ValueError, match="behind"):
+        list(C.decode(io.BytesIO(C.put_varint(3) + bytes([3 << 3 | 2, 9, 1])).read))
+    got = list(C.decoded_batches(io.BytesIO(raw).read, 7, (1, 2, 3, 4), rows=64, size=20_000))
+    assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(7, i, *e) for i, e in enumerate(entries)]
+    assert max(b.num_rows for b in got) <= 64 and len(got) > 5
+
+
+def test_files_are_shared_out(spark, tmp_path):
+    assert C.share_out([], 4) == []
+    assert C.share_out([10] * 8, 4, opening=0, most=20) == [0, 2, 4, 6]
+    assert C.share_out([1 << 30, 5, 5, 1 << 30, 5], 2) == [0, 1, 3, 4]
+    rng = random.Random(1)
+    for _ in range(50):
+        sizes, tasks = [rng.randrange(1, 1 << 26) for _ in range(rng.randrange(1, 200))], rng.randrange(1, 40)
+        begins = C.share_out(sizes, tasks)
+        runs = [sizes[a:b] for a, b in zip(begins, [*begins[1:], len(sizes)], strict=True)]
+        assert begins[0] == 0 and [x for r in runs for x in r] == sizes
+        assert all(len(r) == 1 or sum(r) <= 128 << 20 for r in runs) and len(runs) <= 2 * max(tasks, sum(sizes) >> 26) + 1
+    folder = str(tmp_path / "many")
+    made = spark.range(2000).selectExpr("id div 4 + 1 as version", "id % 4 as seq", "'s' as store_key", "cast(cast(id as string) as binary) as key", "cast('v' as binary) as value", "false as is_delete")
+    C.write_changes(made, folder)
+    back = C.read_changes(spark, folder)
+    assert rows(back) == rows(made) and back.rdd.getNumPartitions() <= 20
+    reader = C._Reader({"path": folder, "after": "490", "tasks": "3"})
+    assert [v for p in reader.partitions() for v, _ in p.files] == list(range(491, 501)) and len(reader.partitions()) <= 10
+
+
 def test_checkpoint_interval(spark, tmp_path):
     folder = str(tmp_path / "in")
     made = spark.createDataFrame([(v, i, "s", b"k%d" % (i * v % 5), None if i == 2 else b"v%d" % v, i == 2) for v in range(1, 8) for i in range(4)], "version long, seq long, store_key string, key binary, value binary, is_delete boolean")

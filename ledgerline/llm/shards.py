@@ -1,15 +1,15 @@
 """Sharding by minimax contiguous partition.
 
-Rows with equal texts form atomic groups; groups are ordered by the hash of
-their text.  Group sizes are summed in ``2**cell_bits`` cells of the hash
-range, the atoms of the partition: a group never spans two cells, and the
-number of cells doesn't grow with the data, so their sums fit the driver.  The
+Rows with equal texts form atomic groups, ordered by the hash of their text.
+Group sizes are summed by cells of the hash range (``2**cell_bits`` at first),
+whose number doesn't grow with the data, so the sums fit the driver.  The
 smallest capacity for which a greedy sweep needs at most ``shards`` shards is
-found by binary search; within that capacity each cut then takes an even share
-of what is left, so the last shard isn't the only one to run short.  With far
-more cells than groups (small data) each atom is one group; with more groups
-than cells the largest shard exceeds the unrestricted optimum by at most one
-cell, a share of about 2**-cell_bits of the total unless one group is larger.
+found by binary search, and a second sweep that may cut cells of several groups
+anywhere gives a capacity that no cut can beat.  While the two differ, the
+cells that a cut may fall in are split in 256 and summed again, so the capacity
+is the least over all groups, whatever their number.  Within it each cut takes
+an even share of what is left, so the last shard isn't the only one to run
+short.
 
 Defined results: a null text has size 1 and is grouped with other nulls; an
 empty table gives no rows; a group larger than total/shards fills a shard of
@@ -21,8 +21,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,24 +78,84 @@ def even_ends(sums: np.ndarray, capacity: int, shards: int) -> list[int]:
     return ends
 
 
-def cell_of(text: Column, cell_bits: int) -> Column:
-    """Cell of a text: the leading bits of its hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - cell_bits)
+def furthest(reach: np.ndarray, single: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+    """Ends, in bytes, of a sweep that may cut every atom but the ``single`` ones anywhere; None if more than ``shards`` are needed."""
+    x, ends = 0, []
+    while x < reach[-1]:
+        y = min(x + capacity, int(reach[-1]))
+        if y < reach[-1]:
+            i = int(np.searchsorted(reach, y, "right")) - 1
+            y = int(reach[i]) if single[i] else y
+        if y <= x or len(ends) == shards:
+            return None
+        ends.append(y)
+        x = y
+    return ends
+
+
+def unclear(sums: np.ndarray, single: np.ndarray, shards: int, heavy: int = 1024) -> np.ndarray:
+    """Atoms of several groups that must be split before the least capacity is known; none if it is.
+
+    Atoms of over a ``heavy``-th of the whole come first; without them few
+    atoms lie where a cut may fall.
+    """
+    total = int(sums.sum())
+    big = np.flatnonzero(~single & (sums > total / heavy))
+    if len(big) or not len(sums):
+        return big
+    reach = np.concatenate([[0], np.cumsum(sums)])
+    high, _ = minimax(sums, shards)
+    low, top = -(-total // shards), high
+    while low < top:
+        middle = (low + top) // 2
+        if furthest(reach, single, middle, shards) is None:
+            low = middle + 1
+        else:
+            top = middle
+    maybe = np.zeros(len(sums), bool)
+    if low < high:
+        last, least = furthest(reach, single, high, shards), 0
+        for k in range(shards - 1):
+            least = max(least, int(reach[np.searchsorted(reach, least + low, "right") - 1]))
+            most = last[k] if k < len(last) else total
+            maybe |= (reach[:-1] < most) & (reach[1:] > least)
+    return np.flatnonzero(maybe & ~single)
+
+
+def cell_sums(rows: DataFrame, bits: int, within: list[int] | None = None, above: int = 0) -> pd.DataFrame:
+    """Size, least and greatest hash of the cells of ``rows`` (h, size) by their leading ``bits``, of all or those ``within`` cells of ``above`` bits."""
+    if within is not None:
+        chosen = rows.sparkSession.createDataFrame([(int(c),) for c in within], "_in long")
+        # As many rows as cells to split.
+        rows = rows.join(F.broadcast(chosen), F.shiftright("h", 64 - above) == F.col("_in"), "left_semi")
+    cell = F.shiftright("h", 64 - bits).alias("cell")
+    return rows.groupBy(cell).agg(F.sum("size").alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).toPandas().assign(bits=bits)
+
+
+def cuts(rows: DataFrame, shards: int, cell_bits: int = 18) -> tuple[int, list[int]]:
+    """(least capacity over all groups, last hash of each shard but the last) of ``rows`` (h, size)."""
+    atoms = cell_sums(rows, cell_bits).sort_values("low", ignore_index=True)
+    while len(split := unclear(atoms["size"].to_numpy(np.int64), (atoms["low"] == atoms["high"]).to_numpy(bool), shards)):
+        parts = [atoms.drop(index=split)]
+        for bits, own in atoms.loc[split].groupby("bits"):
+            parts.append(cell_sums(rows, min(64, int(bits) + 8), own["cell"].tolist(), int(bits)))
+        atoms = pd.concat(parts).sort_values("low", ignore_index=True)
+    capacity, ends = minimax(atoms["size"].to_numpy(np.int64), shards)
+    return capacity, [int(atoms["high"].iloc[e - 1]) for e in ends[:-1]]
 
 
 def shard(docs: DataFrame, text: str = "text", shards: int = 16, *, cell_bits: int = 18, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with columns shard and slot, gapless from 0 within a shard, in place of any of those names."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
-    cells = docs.select(cell_of(F.col(text), cell_bits).alias("cell"), size.alias("size")).groupBy("cell").agg(F.sum("size").alias("size")).toPandas()
-    cells = cells.sort_values("cell")
-    _, ends = minimax(cells["size"].to_numpy(np.int64), shards)
-    bounds = [int(cells["cell"].iloc[e - 1]) for e in ends[:-1]]  # last cell of each shard but the last
-    number = sum((F.when(F.col("_cell") > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
-    placed = docs.withColumn("_cell", cell_of(F.col(text), cell_bits)).withColumn("shard", number).drop("_cell")
-    placed = placed.select(*carry, "shard") if carry else placed
-    return number_slots(placed, spark)
+    # Texts are read once where they needn't be carried; sums by cells are taken from this table.
+    sized = materialize(docs.select(*(carry or []), h.alias("_h"), size.alias("_size")), "sizes")
+    _, bounds = cuts(sized.select(F.col("_h").alias("h"), F.col("_size").alias("size")), shards, cell_bits)
+    source, own = (sized, F.col("_h")) if carry else (docs, h)
+    number = sum((F.when(own > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int")
+    return number_slots(source.select(*(carry or docs.columns), number.alias("shard")), spark)
 
 
 def number_slots(placed: DataFrame, spark) -> DataFrame:

@@ -18,6 +18,33 @@ def test_minimax():
     assert S.minimax(np.zeros(0, np.int64), 4) == (0, [])
 
 
+def test_least_capacity_over_groups(spark):
+    """Cells are split until the capacity is that of all groups in order, however few bits they begin with."""
+    rng = np.random.default_rng(5)
+    for trial in range(6):
+        n, k = [(400, 7), (400, 16), (60, 16), (300, 5), (1, 3), (900, 4)][trial]
+        h = rng.integers(-(2**63), 2**63 - 1, n)
+        h[: n // 3] = (h[0] >> 20 << 20) + np.arange(n // 3) * (trial % 3)  # a crowded cell, or one group
+        size = rng.integers(1, 2000, n)
+        size[n // 2] = [1, 60_000, 4000, 10**6, 5, 300_000][trial]
+        rows = spark.createDataFrame(list(zip(h.tolist(), size.tolist(), strict=True)), "h long, size long")
+        groups = np.array([size[h == g].sum() for g in np.unique(h)])
+        best = S.minimax(groups, k)[0]
+        for bits in (1, 4, 18):
+            capacity, bounds = S.cuts(rows, k, bits)
+            assert capacity == best and len(bounds) < k
+            assert max(size[np.searchsorted(bounds, h) == j].sum() for j in range(k)) <= capacity
+    assert S.cuts(spark.createDataFrame([], "h long, size long"), 4) == (0, [])
+
+
+def test_few_cells_are_split():
+    """With no heavy cell only those near cuts are split."""
+    rng = np.random.default_rng(1)
+    sums = rng.integers(500, 1500, 1 << 18)
+    assert 0 < len(S.unclear(sums, np.zeros(len(sums), bool), 16)) < 2000
+    assert not len(S.unclear(sums, np.ones(len(sums), bool), 16))
+
+
 def check(rows, texts):
     of, slots, sizes = {}, {}, {}
     for r in rows:
